@@ -3,7 +3,8 @@ are averaged per document and go through a softmax; both layers are learnt by nu
 stochastic gradient descent.
 
 Features of a text are its words and the ``GRAMS``-character n-grams inside and at the edges
-of words, case kept (it tells quality), all hashed into ``buckets``.
+of words, case kept (it tells quality), and a mark for each word that also stands up to
+``REPEATS`` words before, all hashed into ``buckets``.
 Averaging and the output layer are linear, so scoring looks up one projected number for each
 feature: the result is that of the averaged vectors.
 
@@ -32,6 +33,8 @@ from quillon.llm.words import U, codes, mix, pieces
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
+#: A word that stands again this many words later at most gives a feature of its own.
+REPEATS = 4
 
 
 def features(some: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +62,14 @@ def features(some: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
         up = np.cumprod(np.full(len(c) + 1, 0x9E3779B97F4A7C15 | 1, U))
         total = np.concatenate((np.zeros(1, U), np.cumsum((c + U(1)) * up[:-1])))
         down = np.cumprod(np.full(len(c) + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), U))
-        found.append(mix((total[end] - total[start]) * down[start]) & U(buckets - 1))
-        owner.append(np.searchsorted(at, start, "right") - 1)
+        h = mix((total[end] - total[start]) * down[start])
+        own = np.searchsorted(at, start, "right") - 1
+        found.append(h & U(buckets - 1))
+        owner.append(own)
+        for k in range(1, REPEATS + 1):
+            again = np.flatnonzero((h[k:] == h[:-k]) & (own[k:] == own[:-k])) + k
+            found.append(np.full(len(again), mix(np.full(1, k, U))[0] & U(buckets - 1)))
+            owner.append(own[again])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found).astype(np.int64), np.concatenate(owner)

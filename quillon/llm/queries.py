@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, language, quality
+from quillon.llm import decontaminate, language, mixing, quality
 from quillon.llm.common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.fit(docs, train=~held_out("id"))
@@ -28,5 +33,20 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_decontaminate, op6_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_decontaminate, op5_mixing, op6_language)}
 SQL: dict[str, str] = {}
+
+SQL["op5_mixing"] = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, md5(doc_id::varchar) turn from documents),
+s as (select source, sum(size)::bigint source_size from d group by source),
+r as (select *, row_number() over (order by source is null, source) rank, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double weight, 3.0::double * source_size cap, count(*) over () n from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))
+  / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) as lvl from r),
+t as (select source, source_size, case when cap <= weight * lvl then cap else least(cap, weight * max(case when cap > weight * lvl then lvl end) over ()) end target,
+  case when n > 1 then 0.8::double * (2.0::double * (rank - 1) / (n - 1) - 1) else 0 end slope from l),
+o as (select d.*, t.source_size, t.target, t.slope, round(t.target)::bigint whole,
+  coalesce(sum(size) over (partition by d.source order by turn, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint before from d join t on d.source is not distinct from t.source),
+f as (select *, case when source_size > 0 then whole // source_size else 0 end passes, least(greatest(before / greatest(target, 1.0::double), 0), 1) share from o)
+select doc_id, size, source_size, target, (passes * size + greatest(0, least(size, whole - passes * source_size - before)))::bigint taken,
+  round(2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)), 6) as position from f
+"""
