@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +22,19 @@ def sample_share(df: DataFrame, ids: Column, by: str, bound: int) -> DataFrame:
     counts = df.groupBy(by).agg(F.count("*").alias("__rows"))
     keep = F.pmod(F.xxhash64(ids, F.lit("sample")), F.lit(1 << 30)) < F.lit(float(1 << 30)) * bound / F.col("__rows")
     return df.join(F.broadcast(counts), by).where(keep).drop("__rows")
+
+
+def bit_set(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """A set of 2**bits marks (so of bounded size) with the low bits of each hash set, gathered by
+    words of 64; it may hold more than was put in, never less."""
+    word = F.expr(f"cast(shiftright(`{column}` & {(1 << bits) - 1}L, 6) as int) as word")
+    marks = F.expr(f"bit_or(shiftleft(1L, cast(`{column}` & 63L as int))) as marks")
+    words = hashes.where(F.col(column).isNotNull()).groupBy(word).agg(marks).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["marks"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bit_set(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes.astype(np.uint64, copy=False) & np.uint64(len(marks) * 64 - 1)
+    return (marks[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, language, mixing, quality
+from quillon.llm import decontaminate, language, mixing, pii, quality, repeats
 from quillon.llm.common import held_out, table
 
 
@@ -33,7 +33,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_decontaminate, op5_mixing, op6_language)}
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_decontaminate, op5_mixing, op6_language, op7_repeats, op9_pii)}
 SQL: dict[str, str] = {}
 
 SQL["op5_mixing"] = r"""
