@@ -152,6 +152,20 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: i
     return out.select("doc_id", "base", every.alias("spans"))
 
 
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every span, base or discovered, replaced by its kind in brackets; where
+    spans overlap, the earliest stands for all.  Rows without spans keep their text as it is."""
+    spans = find(docs, doc_id, text).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("__spans")).withColumnRenamed("doc_id", "__id")
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    joined = docs.join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
+    merged = F.aggregate("__spans", F.array().cast("array<struct<kind:int,start:long,end:long>>"), lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["kind"].alias("kind"), F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))))
+    joined = joined.withColumn("__spans", merged)
+    body = F.col(text)
+    pieces = F.transform("__spans", lambda s, i: F.concat(F.substring(body, (F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__spans", i)["end"]) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__spans", i)["end"])).cast("int")), F.element_at(names, s["kind"] + 1)))
+    rest = F.substring(body, (F.element_at("__spans", -1)["end"] + 1).cast("int"), F.length(body))
+    return joined.withColumn(text, F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)).drop("__spans", "__id")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base spans by kind, their digest, and all spans as text."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
