@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, jaccard, language, mixing, pii, quality, repeats
+from quillon.llm import decontaminate, jaccard, language, mixing, neighbours, pii, quality, repeats
 from quillon.llm.common import held_out, table
 
 
@@ -21,6 +21,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
@@ -45,7 +49,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_jaccard, op4_decontaminate, op5_mixing, op6_language, op7_repeats, op9_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_neighbours, op4_decontaminate, op5_mixing, op6_language, op7_repeats, op9_pii)}
 SQL: dict[str, str] = {}
 
 SQL["op5_mixing"] = r"""
