@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, jaccard, language, mixing, neighbours, pii, quality, repeats
+from quillon.llm import decontaminate, jaccard, language, mixing, neighbours, pii, quality, repeats, urls, warc
 from quillon.llm.common import held_out, table
 
 
@@ -49,7 +49,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_neighbours, op4_decontaminate, op5_mixing, op6_language, op7_repeats, op9_pii)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivatives of every page's response; n_bytes is the record block's length."""
+    return warc.digests(warc.derive(warc.from_pages(table(spark, sf_dir, "pages")), keep=("page_id",)))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("ratio")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_neighbours, op4_decontaminate, op5_mixing, op6_language, op7_repeats, op8_warc, op9_pii, op10_urls)}
 SQL: dict[str, str] = {}
 
 SQL["op5_mixing"] = r"""
@@ -66,3 +75,23 @@ f as (select *, case when source_size > 0 then whole // source_size else 0 end p
 select doc_id, size, source_size, target, (passes * size + greatest(0, least(size, whole - passes * source_size - before)))::bigint taken,
   round(2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)), 6) as position from f
 """
+
+_UUID = "'<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>'"
+_DECODED = "t"
+for _name, _char in warc.ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_name}', chr({ord(_char)}))"
+SQL["op8_warc"] = rf"""
+with p as (select page_id, coalesce(url, '') u, coalesce(html, '') html from pages),
+r as (select *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html as blk, 'sha256:' || sha256(html) payload from p),
+i as (select *, md5('response ' || page_id || ' ' || u || ' sha256:' || sha256(blk)) h from r),
+f as (select page_id, u, {_UUID} src, html, blk, payload from i),
+t0 as (select *, regexp_replace(html, '<!--.*?-->', ' ', 'gs') t from f),
+t1 as (select * replace (regexp_replace(regexp_replace(regexp_replace(t, '<script[^>]*>.*?</script[^>]*>', ' ', 'gsi'), '<style[^>]*>.*?</style[^>]*>', ' ', 'gsi'), '[ \t\n\x0B\f\r]+', ' ', 'g') as t) from t0),
+t2 as (select * replace (regexp_replace(regexp_replace(t, '</?(p|div|br|li|ul|ol|tr|table|h[1-6]|title|head|body|html|nav|footer|header|section|article)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') as t) from t1),
+t3 as (select * replace ({_DECODED} as t) from t2),
+t4 as (select * replace (regexp_replace(regexp_replace(regexp_replace(t, '[ \t]*\n[ \t\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g') as t) from t3),
+m as (select page_id, u, src, 'conversion' warc_type, 'text/plain; charset=utf-8' content_type, t as made from t4
+ union all select page_id, u, src, 'metadata', 'application/warc-fields', 'status: 200' || chr(13) || chr(10) || 'sourceContentType: text/html; charset=utf-8' || chr(13) || chr(10) || 'sourceLength: ' || strlen(blk) || chr(13) || chr(10) || 'sourceDigest: ' || payload || chr(13) || chr(10) || 'title: ' || trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '[ \t\n\x0B\f\r]+', ' ', 'g')) || chr(13) || chr(10) || 'outlinks: ' || len(regexp_extract_all(html, '<a\s[^>]*href', 0, 'i')) || chr(13) || chr(10) from t4),
+g as (select *, 'sha256:' || sha256(made) block_digest, md5(warc_type || ' ' || src || ' sha256:' || sha256(made)) h from m)
+select page_id, warc_type, {_UUID} record_id, u target_uri, src refers_to, content_type, block_digest, strlen(made) n_bytes from g
+"""
