@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
@@ -18,7 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` there and read it again: lost executors never force what precedes to run anew."""
+    """Write ``df`` there and read it again: lost executors never force what precedes to run anew,
+    and the shuffle files of what precedes go as soon as it is written."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(_CLEAN, None)
+    df.sparkSession.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            df.sparkSession.conf.unset(_CLEAN)
+        else:
+            df.sparkSession.conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
