@@ -217,7 +217,14 @@ class Join:
         width, percent = self.width, self.percent
         all_of = cut(self.docs.select("text").mapInArrow(lambda x: posted(x, slots.value, width, percent), "key long, node long"), "jaccard-postings")
         shared = all_of.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other")).where("lo <> hi")
-        both = all_of.join(shared, "key").select("key", "node", "lo", "hi", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
+        shared = cut(shared, "jaccard-keys")
+        marks = self.spark.sparkContext.broadcast(bit_set(shared, "key", 26))
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
+
+        both = all_of.mapInArrow(marked, "key long, node long").join(shared, "key").select("key", "node", "lo", "hi", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
         return cut(both.distinct(), "jaccard-shared")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -276,7 +283,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     links = run.verified(shared.where("node <> lo").select(*_ordered("node", "lo")).distinct())
     merged = components(links)
     part = merged.withColumnRenamed("component", "c")
-    others = shared.select("node", F.explode(F.array("hi", "other")).alias("to")).where("node <> to").distinct()
+    others = shared.select("node", "lo", F.explode(F.array("hi", "other")).alias("to")).where("node <> to and node <> lo and to <> lo").select("node", "to").distinct()
     others = others.join(part, "node", "left").join(part.toDF("to", "d"), "to", "left").where(F.coalesce("c", "node") != F.coalesce("d", "to"))
     links = links.unionByName(run.verified(others.select(*_ordered("node", "to")).distinct()))
     merged = cut(components(links), "jaccard-merged")
