@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,19 @@ def sample_share(df: DataFrame, ids: Column, by: str, bound: int) -> DataFrame:
     return df.join(F.broadcast(counts), by).where(keep).drop("__rows")
 
 
+def shared(spark: SparkSession, thing) -> Callable:
+    """Broadcast the fields of an object; what comes back makes it anew on a worker.  (Plain
+    values travel without this package, an object of one of its classes would not.)"""
+    held, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def get():
+        out = kind.__new__(kind)
+        out.__dict__.update(held.value)
+        return out
+
+    return get
+
+
 def bit_set(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     """A set of 2**bits marks (so of bounded size) with the low bits of each hash set, gathered by
     words of 64; it may hold more than was put in, never less."""

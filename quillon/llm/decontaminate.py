@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import shared
 from quillon.llm.words import LOWER, NOT_ALNUM, U, buffers, runs, shingled, words
 
 WIDTH = 10
@@ -116,28 +117,26 @@ def parts(benchmark: DataFrame, item_id: str, text: str, width: int, part_words:
         yield Windows(got["id"].tolist(), got["text"].tolist(), width)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, part_words: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, part_words: int = 1_000_000) -> DataFrame:
     """Per document: n_words, n_hit (words inside hits), n_items, items_sha256, contaminated, and
     the hit spans (word numbers, end exclusive) and items themselves."""
     scanned = None
     for known in parts(benchmark, item_id, item_text, width, part_words):
-        held = docs.sparkSession.sparkContext.broadcast(known)
-        one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches, held=held: scan(batches, held.value), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+        get = shared(docs.sparkSession, known)
+        one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches, get=get: scan(batches, get()), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
         scanned = one if scanned is None else scanned.unionByName(one).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    start, end = "start", "end"
-    last = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at")), lambda a, x: F.struct((a["n"] + F.greatest(x[end] - F.greatest(x[start], a["at"]), F.lit(0))).alias("n"), F.greatest(a["at"], x[end]).alias("at")))
+    last = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at")), lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["at"]), F.lit(0))).alias("n"), F.greatest(a["at"], x["end"]).alias("at")))
     items = F.array_sort("items")
-    out = scanned.select("doc_id", "n_words", last["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.array_sort("spans").alias("spans"), items.alias("items"))
-    return out
+    return scanned.select("doc_id", "n_words", last["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.array_sort("spans").alias("spans"), items.alias("items"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], held, drop_share: float) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], known: Windows, drop_share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         texts = batch.column(names.index("text"))
         pair = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), texts], names=["doc_id", "text"])
         keep, new = [], texts.to_pylist()
-        for found in scan(iter([pair]), held.value):
+        for found in scan(iter([pair]), known):
             for row in found.to_pylist():
                 i, spans = row["doc_id"], row["spans"]
                 hit = sum(x["end"] - x["start"] for x in spans)
@@ -160,8 +159,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, width:
     """``docs`` without benchmark text: the hit words are cut out of ``text``, and a document of
     which more than ``drop_share`` is hit goes.  Other rows and all columns stay as they are."""
     for known in parts(benchmark, "item_id", "text", width, part_words):
-        held = docs.sparkSession.sparkContext.broadcast(known)
-        docs = docs.mapInArrow(lambda batches, held=held: _cut(batches, held, drop_share), docs.schema)
+        get = shared(docs.sparkSession, known)
+        docs = docs.mapInArrow(lambda batches, get=get: _cut(batches, get(), drop_share), docs.schema)
     return docs
 
 

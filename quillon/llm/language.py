@@ -16,7 +16,6 @@ null languages teach nothing; repeated rows are judged each on its own.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +30,13 @@ DIM = 1024
 GRAM = 3
 
 
-@functools.lru_cache(1)
+_LETTERS: list[np.ndarray] = []
+
+
 def is_letter() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return _LETTERS[0]
 
 
 def letter_vectors(letters: np.ndarray, dim: int) -> np.ndarray:

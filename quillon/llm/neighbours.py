@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.store import cut
+from quillon.llm.common import shared
 
 BLOCK = 4096
 
@@ -128,18 +129,20 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     share = min(1.0, sample / total)
     chosen = entries.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) < share * (1 << 30)).select("entry", "v").toArrow().sort_by("entry")
     x = _matrix(chosen["v"].combine_chunks()) if chosen.num_rows else _matrix(entries.limit(1).select("v").toArrow()["v"].combine_chunks())
-    held = spark.sparkContext.broadcast(fitted(x, total, k, recall))
+    get = shared(spark, fitted(x, total, k, recall))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
         for batch in batches:
             v = _matrix(batch.column(1))
-            cells = held.value.cells(v)
-            codes = held.value.codes(v, cells)
+            cells = own.cells(v)
+            codes = own.codes(v, cells)
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cell", "entry", "v", "codes"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
         for batch in batches:
-            cells = held.value.probed(_matrix(batch.column(1)))
+            cells = own.probed(_matrix(batch.column(1)))
             rows = pa.array(np.repeat(np.arange(len(batch)), cells.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["cell", "entry", "v"])
 
@@ -156,7 +159,7 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     right = routed.join(grid, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(F.xxhash64("entry"), F.col("qb")).cast("int").alias("j"), "entry", "v")
 
     def meet(entry: pa.Table, query: pa.Table) -> pa.Table:
-        out = []
+        out, own = [], get()
         if entry.num_rows and query.num_rows:
             at, ids = _matrix(entry["v"].combine_chunks()), entry["entry"].to_numpy()
             codes = np.stack([np.frombuffer(c, np.uint8) for c in entry["codes"].to_pylist()]).astype(np.int64)
@@ -165,7 +168,7 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
             place = np.arange(codes.shape[1])[None, :]
             for a in range(0, len(asked_v), 64):
                 q = asked_v[a : a + 64]
-                tables, base = held.value.tables(q), q @ held.value.centroids[cell]
+                tables, base = own.tables(q), q @ own.centroids[cell]
                 for r in range(len(q)):
                     some = np.arange(len(ids))
                     if len(ids) > rerank:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, sample_share
+from quillon.llm.common import held_out, sample_share, shared
 from quillon.llm.words import U, codes, mix, pieces
 
 BUCKETS = 1 << 16
@@ -158,11 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = 0.3) -> DataFrame:
     """doc_id, score (how likely label 1 is) and predicted (1 where it is ``cut`` or more)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.store import cut
-from quillon.llm.common import held_out
+from quillon.llm.common import held_out, shared
 from quillon.llm.words import U, buffers, mix
 
 ORDER = 4
@@ -128,14 +128,15 @@ def fit(labelled: DataFrame, order: int = ORDER, slots: int = SLOTS) -> Ratio:
 
 def scored(urls: DataFrame, model: Ratio, url: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``ratio`` of each URL."""
-    held = urls.sparkSession.sparkContext.broadcast(model)
+    get = shared(urls.sparkSession, model)
     rows = urls.select(F.col(url).alias("__url"), *keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "ratio double"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
         for batch in batches:
             data, at = buffers(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(held.value.scores(data, at))], names=[*batch.schema.names[1:], "ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(data, at))], names=[*batch.schema.names[1:], "ratio"])
 
     return rows.mapInArrow(judge, schema)
 

@@ -7,8 +7,6 @@ working memory follows ``RUN`` (or the longest single word), not the longest tex
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -37,12 +35,18 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 
 
-@functools.lru_cache(2)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64; the last ones asked for are kept."""
+    if n in _POWERS:
+        return _POWERS[n]
+    _POWERS.clear()
     up, down = np.full(n, _BASE, U), np.full(n, pow(_BASE, -1, 1 << 64), U)
     up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    _POWERS[n] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[n]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
