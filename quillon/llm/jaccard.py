@@ -244,8 +244,8 @@ class Join:
                 some = [(prints(s)[0], s.tobytes()) for _, s in shingle_sets(batch.column(2), width) if len(s)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(range(0), pa.int64())) if not some else pa.array([k for k, _ in some], pa.int64()), pa.array([v for _, v in some], pa.binary())], names=["node", "shingles"])
 
-        held = wanted.mapInArrow(sets, "node long, shingles binary").join(ends, "node", "left_semi")
-        held = cut(held.groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+        # A node's set comes from its own document; one that is not asked for meets no pair below.
+        held = wanted.mapInArrow(sets, "node long, shingles binary")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
