@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
@@ -20,16 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` there and read it again: lost executors never force what precedes to run anew,
-    and the shuffle files of what precedes go as soon as it is written."""
+    """Write ``df`` there and read it again: lost executors never force what precedes to run anew.
+
+    Spark drops a shuffle's files when the driver collects the plan that made them as garbage;
+    a job of many steps would fill disks long before that, so it is asked for here."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    before = df.sparkSession.conf.get(_CLEAN, None)
-    df.sparkSession.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            df.sparkSession.conf.unset(_CLEAN)
-        else:
-            df.sparkSession.conf.set(_CLEAN, before)
+    df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
