@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.functions.store import cut
 from quillon.operators import discovery, dml, embed, evaluate, files, graph, quantize, rerank, search
 from quillon.plans.base import query, table
 from quillon.plans.search import _BATCH, _COS, queries_of, vector_of
@@ -407,7 +408,7 @@ _EDGES = f"(select query_id source, vec_id target, score weight from (select *,
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    return graph.similar_edges(emb, queries_of(emb, "true"), 0.3)
+    return cut(graph.similar_edges(emb, queries_of(emb, "true"), 0.3), "edges")
 
 
 @query(f"select source, target, weight from {_EDGES}")
