@@ -1,6 +1,7 @@
 """N-gram Jaccard join: a count-vector R-tree over shingle sets.
 
-The shingles of a text are hashed into ``GROUPS`` groups; the counts by group are a point.
+The shingles of a text are hashed into groups, as many as shingles (``GROUPS`` to
+``MOST_GROUPS``, in powers of two, so that points fold); the counts by group are a point.
 Two sets' overlap is at most the sum of the smaller coordinates of their points, and at most
 the same sum with the upper corner of a box of points, so an R-tree of boxes finds the pairs
 that may reach the threshold; the survivors are verified on the sets themselves.
@@ -39,6 +40,7 @@ from quillon.llm.words import U, mix, shingle_sets
 
 WIDTH = 5
 GROUPS = 64
+MOST_GROUPS = 4096
 SLOTS = 1 << 18
 PART = 256
 BLOCK = 2048
@@ -46,15 +48,57 @@ PERCENT = 80
 _LOW = -(1 << 63)
 
 
+def groups_for(n: int) -> int:
+    """As many groups as shingles, as a power of two from ``GROUPS`` to ``MOST_GROUPS``."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n - 1).bit_length()))
+
+
 def point(shingles: np.ndarray) -> bytes:
-    """Counts by group, in as few bytes as their sum needs."""
+    """Counts by group, in as few bytes each as their sum needs."""
     n = len(shingles)
-    kind = np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32
-    return np.bincount((shingles % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(kind).tobytes()
+    groups = groups_for(n)
+    return np.bincount((shingles % U(groups)).astype(np.int64), minlength=groups).astype(_kind(n)).tobytes()
+
+
+def _kind(n: int) -> type:
+    return np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32
+
+
+def folded(at: np.ndarray, groups: int) -> np.ndarray:
+    """Points (one a row) over fewer groups: those that are equal modulo ``groups`` add up."""
+    return at.reshape(len(at), -1, groups).sum(1, dtype=np.int32)
+
+
+class Points:
+    """Points of sets of n shingles, by their numbers of groups."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.groups = np.array([groups_for(int(k)) for k in n], np.int64)
+        self.place, self.at = np.zeros(len(n), np.int64), {}
+        for g in np.unique(self.groups):
+            some = np.flatnonzero(self.groups == g)
+            self.at[int(g)] = np.stack([np.frombuffer(raw[k], _kind(int(n[k]))) for k in some])
+            self.place[some] = np.arange(len(some))
+
+    def of(self, some: np.ndarray, groups: int) -> np.ndarray:
+        """These points over so many groups, no more than any of them has."""
+        out = np.zeros((len(some), groups), np.int32)
+        for g in np.unique(self.groups[some]):
+            own = self.groups[some] == g
+            out[own] = folded(self.at[int(g)][self.place[some[own]]], groups)
+        return out
 
 
-def points(raw: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}[len(r)]).astype(np.int32) for r in raw]) if raw else np.zeros((0, GROUPS), np.int32)
+def overlap_bounds(p: Points, a: np.ndarray, q: Points, b: np.ndarray) -> np.ndarray:
+    """The summed smaller coordinates of each pair, over the groups of the coarser of the two."""
+    out = np.zeros(len(a), np.int64)
+    common = np.minimum(p.groups[a], q.groups[b])
+    for g in np.unique(common):
+        own = np.flatnonzero(common == g)
+        for k in range(0, len(own), 2048):
+            part = own[k : k + 2048]
+            out[part] = np.minimum(p.of(a[part], int(g)), q.of(b[part], int(g))).sum(1)
+    return out
 
 
 def prints(shingles: np.ndarray) -> tuple[int, int]:
@@ -126,17 +170,21 @@ def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Pairs of points whose summed smaller coordinates reach the least overlap."""
     for batch in batches:
         a, b, n, m, p, q = (batch.column(k) for k in range(6))
-        good = np.minimum(points(p.to_pylist()), points(q.to_pylist())).sum(1) >= least_overlap(n.to_numpy(), m.to_numpy(), percent)
+        n, m, every = n.to_numpy(), m.to_numpy(), np.arange(len(batch))
+        bound = overlap_bounds(Points(p.to_pylist(), n), every, Points(q.to_pylist(), m), every)
+        good = bound >= least_overlap(n, m, percent)
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
 
 
 class Tree:
-    """An R-tree over points packed by component and size: boxes of ``LEAF`` points, and boxes of ``LEAF`` boxes."""
+    """An R-tree over points packed by component and size: boxes of ``LEAF`` points, and boxes of
+    ``LEAF`` boxes, over ``GROUPS`` groups; points that pass are bounded again over all their groups."""
 
     LEAF = 16
 
-    def __init__(self, at: np.ndarray, n: np.ndarray):
-        self.at, self.n = at, n
+    def __init__(self, points: Points, n: np.ndarray):
+        at = points.of(np.arange(len(n)), GROUPS)
+        self.points, self.at, self.n = points, at, n
         self.levels = []
         top, low, high = at, n, n
         while len(top) > self.LEAF:
@@ -156,7 +204,8 @@ class Tree:
             limit = len(self.levels[depth - 1][0]) if depth else q
             at = at[at < limit]
         at = at[at < q]
-        return at[np.minimum(p, self.at[at]).sum(1) >= least_overlap(n, self.n[at], percent)]
+        at = at[np.minimum(p, self.at[at]).sum(1) >= least_overlap(n, self.n[at], percent)]
+        return at[overlap_bounds(self.points, np.full(len(at), q), self.points, at) >= least_overlap(n, self.n[at], percent)]
 
 
 def treed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -168,7 +217,7 @@ def treed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         if len(np.unique(comp)) < 2:
             return None
         order = np.lexsort((n, comp))
-        tree = Tree(points(group["point"].take(pa.array(order)).to_pylist()), n[order])
+        tree = Tree(Points(group["point"].take(pa.array(order)).to_pylist(), n[order]), n[order])
         node, comp = node[order], comp[order]
         out = []
         for q in range(1, len(node)):

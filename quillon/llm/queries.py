@@ -95,3 +95,34 @@ m as (select page_id, u, src, 'conversion' warc_type, 'text/plain; charset=utf-8
 g as (select *, 'sha256:' || sha256(made) block_digest, md5(warc_type || ' ' || src || ' sha256:' || sha256(made)) h from m)
 select page_id, warc_type, {_UUID} record_id, u target_uri, src refers_to, content_type, block_digest, strlen(made) n_bytes from g
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op2_jaccard"] = rf"""
+with recursive w as materialized (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as materialized (select a, b from l union all select b, a from l),
+r(node, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.node where r.c < e.b)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id from documents d left join n using (doc_id) join (select node, min(c) component_id from r group by node) c on c.node = d.doc_id
+"""
+SQL["op4_decontaminate"] = rf"""
+with d as materialized (select doc_id, regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') w from documents),
+i as (select item_id::varchar item_id, regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') w from benchmark),
+v as materialized (select distinct item_id, l, array_to_string(w[k:k + l - 1], ' ') g from (select item_id, w, least(len(w), 10) l, unnest(range(1, len(w) - least(len(w), 10) + 2)) k from i where len(w) > 0)),
+g as (select doc_id, k, l, array_to_string(w[k:k + l - 1], ' ') g from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) k from d, (select distinct l from v) where len(w) >= l)),
+h as materialized (select doc_id, k, g.l, item_id from g join v using (l, g)),
+x as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k, k + l)) p from h) group by doc_id),
+y as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct doc_id, item_id from h) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join x using (doc_id) left join y using (doc_id)
+"""
+SQL["op7_repeats"] = r"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+p as (select doc_id, i, substr(h, 2 * i + 1, 200) s from (select doc_id, h, unnest(range(0, n - 99)) i from d where n >= 100)),
+m as materialized (select doc_id, i from p qualify row_number() over (partition by s order by doc_id, i) > 1),
+b as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end fresh from m),
+r as materialized (select doc_id, run, min(i) a, max(i) + 100 z from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) run from b) group by all),
+k as (select doc_id, count(*) n_spans, sum(z - a) n_removed, max(z) last, string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (a - coalesce(before, 0))), '' order by a) kept from (select r.*, h, lag(z) over (partition by doc_id order by a) before from r join d using (doc_id)) group by doc_id)
+select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) kept_sha256 from d left join k using (doc_id)
+"""
