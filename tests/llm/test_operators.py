@@ -105,13 +105,14 @@ def test_jaccard_hot_family(spark):
 
 def test_tree_loses_no_pair():
     random = np.random.default_rng(1)
-    at = random.poisson(3, (400, jaccard.GROUPS)).astype(np.int32)
-    at[200:] = np.maximum(0, at[:200] + random.integers(-1, 2, (200, jaccard.GROUPS)) * (random.random((200, jaccard.GROUPS)) < 0.1))
-    n = at.sum(1).astype(np.int64)
-    tree = jaccard.Tree(at, n)
-    for q in range(400):
-        want = [p for p in range(q) if np.minimum(at[p], at[q]).sum() >= jaccard.least_overlap(n[p], n[q], 80)]
-        assert tree.reach(q, 80).tolist() == want
+    sets = [np.unique(random.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in random.integers(1, 400, 200)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 8], random.integers(0, 1 << 62, len(s) // 9).astype(np.uint64)])) for s in sets]
+    n = np.array([len(s) for s in sets])
+    tree = jaccard.Tree(jaccard.Points([jaccard.point(s) for s in sets], n), n)
+    for q, s in enumerate(sets):
+        common = np.array([len(np.intersect1d(s, t)) for t in sets[:q]])
+        want = [p for p in range(q) if 100 * common[p] >= 80 * (n[q] + n[p] - common[p])]
+        assert set(want) <= set(tree.reach(q, 80).tolist())
 
 
 def test_jaccard_odd(odd, empty):
