@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.store import cut
+from quillon.functions.store import cut, drop
 from quillon.llm.common import bit_set, in_bit_set
 from quillon.llm.graphs import components
 from quillon.llm.words import U, mix, shingle_sets
@@ -253,16 +253,18 @@ class Join:
         self.width, self.percent = width, percent
         self.docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOW)).alias("doc"), F.col(text).alias("text"))
         sketch = "doc long, n long, node long, again long, point binary, part int, counts binary"
-        self.sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
-        self.rows = self.sketches.where("part is null").select("doc", "n", "node", "again", "point")
-        nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"))
+        sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
+        self.rows = cut(sketches.where("part is null").select("doc", "n", "node"), "jaccard-rows")
+        nodes = sketches.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"))
         self.nodes = cut(nodes, "jaccard-nodes")
+        self.slots = slot_counts(sketches)
+        drop(sketches)
         if self.nodes.where("again <> other or n <> m").take(1):
             raise ArithmeticError("two different sets have the same 64-bit hash")
 
     def postings(self) -> DataFrame:
         """key, node and the key's smallest, largest and one other node, of shingles of several nodes."""
-        slots = self.spark.sparkContext.broadcast(slot_counts(self.sketches))
+        slots = self.spark.sparkContext.broadcast(self.slots)
         width, percent = self.width, self.percent
         all_of = cut(self.docs.select("text").mapInArrow(lambda x: posted(x, slots.value, width, percent), "key long, node long"), "jaccard-postings")
         shared = all_of.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other")).where("lo <> hi")
@@ -274,14 +276,16 @@ class Join:
                 yield batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
 
         both = all_of.mapInArrow(marked, "key long, node long").join(shared, "key").select("key", "node", "lo", "hi", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
-        return cut(both.distinct(), "jaccard-shared")
+        both = cut(both.distinct(), "jaccard-shared")
+        drop(all_of, shared)
+        return both
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b: nodes) that reach the threshold."""
         percent, width = self.percent, self.width
-        known = self.nodes.select("node", "n", "point")
-        one = pairs.join(known.toDF("a", "n", "p"), "a")
-        both = one.join(known.toDF("b", "m", "q"), "b").where("least(n, m) * 100 >= greatest(n, m) * " + str(percent))
+        size, at = self.nodes.select("node", "n"), self.nodes.select("node", "point")
+        sized = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").where(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
+        both = cut(sized, "jaccard-sized").join(at.toDF("a", "p"), "a").join(at.toDF("b", "q"), "b")  # points go only where sizes fit
         likely = cut(both.select("a", "b", "n", "m", "p", "q").mapInArrow(lambda x: bounded(x, percent), "a long, b long"), "jaccard-likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc"), "node")
         marks = self.spark.sparkContext.broadcast(bit_set(ends.select(F.xxhash64("doc").alias("h")), "h"))
@@ -312,9 +316,17 @@ class Join:
     def remaining(self, shared: DataFrame, merged: DataFrame) -> DataFrame:
         """Pairs of nodes of different components that some R-tree lets through."""
         percent = self.percent
-        at = shared.select("key", "node", "lo", "hi").join(merged, "node", "left").select("key", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
-        open_keys = at.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where("size > 2 and c <> d")
-        rows = at.join(open_keys.select("key", "size"), "key").join(self.nodes.select("node", "n", "point"), "node")
+        rest = shared.where("node <> lo and node <> hi and node <> other")  # those have met every node of their shingle
+        at = rest.select("key", "node").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        # Sets that link differ in size by a factor of at most 100 / percent: they are of one band of sizes or of neighbours.
+        band = F.floor(F.log("n") / F.log(F.lit(100 / percent * (1 + 1e-9)))).cast("int")
+        at = at.join(self.nodes.select("node", "n"), "node").select("key", "node", "component", F.explode(F.array(band, band + 1)).alias("band"))
+        whole = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+        groups = at.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d"), *whole).where("c <> d")
+        # A passage gives many shingles with the same nodes: one of them stands for all.
+        open_keys = groups.groupBy("size", "x", "y").agg(F.min(F.struct("key", "band")).alias("k")).select("k.key", "k.band", "size")
+        rows = at.join(open_keys, ["key", "band"])
+        rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "component", "size").distinct().join(self.nodes.select("node", "n", "point"), "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         dealt = rows.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "component", "n", "point")
