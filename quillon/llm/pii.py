@@ -133,37 +133,41 @@ def scored_patterns(seeds: DataFrame, candidates: DataFrame, rounds: int = 3) ->
     return scores.join(induced, [*pattern, "kind"])
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 3, confident: float = 0.8, digits: int = 5, rounds: int = 3) -> DataFrame:
-    """Per document: ``base`` and ``spans`` (base and discovered), arrays of kind, start, end."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
-    token_needs = F.col("text").rlike(r"[0-9@]")
-    tokens = F.filter(_matches(F.col("text"), _TOKEN, -1, token_needs), lambda t: t["surface"].contains("@") | (F.length(F.regexp_replace(t["surface"], "[^0-9]", "")) >= digits))
-    found = cut(rows.select("doc_id", base_spans(F.col("text")).alias("base"), tokens.alias("tokens")), "pii-spans")
+def _every(docs: DataFrame, keep: list, text: str, support: int = 3, confident: float = 0.8, digits: int = 5, rounds: int = 3) -> DataFrame:
+    """The columns ``keep`` of each row with its own ``__base`` and ``__spans``.  A row is known by a
+    number given before the first cut, never by its id, which may be null or stand in several rows."""
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__body"))
+    body = F.col("__body")
+    tokens = F.filter(_matches(body, _TOKEN, -1, body.rlike(r"[0-9@]")), lambda t: t["surface"].contains("@") | (F.length(F.regexp_replace(t["surface"], "[^0-9]", "")) >= digits))
+    found = cut(rows.select("*", F.monotonically_increasing_id().alias("__row"), base_spans(body).alias("__base"), tokens.alias("__tokens")).drop("__body"), "pii-spans")
     place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    seeds = found.select(F.explode("base").alias("s")).select("s.*")
-    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    candidates = cut(found.where(F.size("tokens") > 0).select("doc_id", F.explode(apart).alias("t")).select("doc_id", "t.*").drop("kind"), "pii-candidates")
+    seeds = found.select(F.explode("__base").alias("s")).select("s.*")
+    apart = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    candidates = cut(found.where(F.size("__tokens") > 0).select("__row", F.explode(apart).alias("t")).select("__row", "t.*").drop("kind"), "pii-candidates")
     strong = scored_patterns(seeds, candidates, rounds).where((F.col("seeds") >= support) & (F.col("score") >= confident))
     best = strong.groupBy("before", "after").agg(F.max(F.struct("score", -F.col("kind"))).alias("b")).select("before", "after", (-F.col("b.col2")).alias("kind"))
-    added = candidates.join(best, ["before", "after"]).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
-    out = found.select("doc_id", F.transform("base", place).alias("base")).join(added.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:long,end:long>>"))), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["kind"] - b["kind"]))
-    return out.select("doc_id", "base", every.alias("spans"))
+    added = candidates.join(best, ["before", "after"]).groupBy("__row").agg(F.array_distinct(F.collect_list(F.struct("kind", "start", "end"))).alias("__more"))
+    out = found.drop("__tokens").withColumn("__base", F.transform("__base", place)).join(added, "__row", "left")
+    every = F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast("array<struct<kind:int,start:long,end:long>>"))), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["kind"] - b["kind"]))
+    return out.withColumn("__spans", every).drop("__row", "__more")
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = 3, confident: float = 0.8, digits: int = 5, rounds: int = 3) -> DataFrame:
+    """Per document: ``base`` and ``spans`` (base and discovered), arrays of kind, start, end."""
+    return _every(docs, [F.col(doc_id).cast("long").alias("doc_id")], text, support, confident, digits, rounds).select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span, base or discovered, replaced by its kind in brackets; where
     spans overlap, the earliest stands for all.  Rows without spans keep their text as it is."""
-    spans = find(docs, doc_id, text).where(F.size("spans") > 0).groupBy("doc_id").agg(F.max("spans").alias("__spans")).withColumnRenamed("doc_id", "__id")
+    joined = _every(docs, ["*"], text).drop("__base")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    joined = docs.join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
     merged = F.aggregate("__spans", F.array().cast("array<struct<kind:int,start:long,end:long>>"), lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["kind"].alias("kind"), F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))))
     joined = joined.withColumn("__spans", merged)
     body = F.col(text)
     pieces = F.transform("__spans", lambda s, i: F.concat(F.substring(body, (F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__spans", i)["end"]) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__spans", i)["end"])).cast("int")), F.element_at(names, s["kind"] + 1)))
     rest = F.substring(body, (F.element_at("__spans", -1)["end"] + 1).cast("int"), F.length(body))
-    return joined.withColumn(text, F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)).drop("__spans", "__id")
+    return joined.withColumn(text, F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)).drop("__spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -370,6 +370,18 @@ def test_pii_odd(odd, empty):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
 
 
+def test_pii_rows_of_one_id(spark):
+    """Rows without an id, and rows that repeat one, are found and redacted each by its own text."""
+    rows = [(None, "write to me@host.example.com"), (None, "some clean words that nothing may overwrite"), (None, "far behind these words 10.0.0.255 stands"), (7, "mail you@host.example.org"), (7, "a card 4111 1111 1111 1111 here"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in pii.redact(df).collect())
+    assert got == Counter([(None, "write to [EMAIL]"), (None, rows[1][1]), (None, "far behind these words [IP] stands"), (7, "mail [EMAIL]"), (7, "a card [CARD] here"), (7, None)])
+    seeds = [(None, f"please call +1 (743) 555-{1000 + i} today ok") for i in range(6)]
+    more = [(None, "please call 743/5551234 today ok"), (None, "number 743/5551234 here")]
+    found = Counter(r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(seeds + more, "doc_id long, text string"), confident=0.5)).collect())
+    assert found == {"phone:12:29": 6, "phone:12:23": 1, "": 1}
+
+
 # op10
 
 
