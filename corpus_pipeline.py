@@ -1,7 +1,7 @@
 """The training-corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 1. language ID: documents without letters, or unlike every learnt language, go;
-2. n-gram Jaccard join: of each group the document with the smallest id stays;
+2. n-gram Jaccard join: of each group one row stays, that with the smallest id (rows without one come last);
 3. benchmark decontamination: benchmark passages are cut out of texts, and documents that are
    mostly such passages go;
 4. PII: every span found is replaced by the name of its kind;
@@ -29,9 +29,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard.join(docs)
-    stay = joined.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    joined = jaccard.join(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    stay = joined.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

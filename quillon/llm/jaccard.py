@@ -21,7 +21,8 @@ nodes, and every two blocks form a tree of their own.
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased.  Defined cases: texts
 without words have no shingles and are linked with nothing; fewer words than ``width`` are one
-shingle; null ids count as the smallest; rows that repeat an id are judged each on its own.
+shingle; a component is named by its least id that is not null, and by null if it has none;
+rows that repeat an id are judged each on its own.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ SLOTS = 1 << 18
 PART = 256
 BLOCK = 2048
 PERCENT = 80
-_LOW = -(1 << 63)
 
 
 def groups_for(n: int) -> int:
@@ -251,7 +251,7 @@ class Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
         self.spark = docs.sparkSession
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOW)).alias("doc"), F.col(text).alias("text"))
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
         sketch = "doc long, n long, node long, again long, point binary, part int, counts binary"
         sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
         self.rows = cut(sketches.where("part is null").select("doc", "n", "node"), "jaccard-rows")
@@ -338,7 +338,8 @@ def _ordered(a: str, b: str) -> list:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links of a Jaccard of ``percent`` reach."""
+    """doc_id, n_shingles and component_id, the smallest id (null only if there is no
+    other) that links of a Jaccard of ``percent`` reach."""
     run = Join(docs, doc_id, text, width, percent)
     shared = run.postings()
     links = run.verified(shared.where("node <> lo").select(*_ordered("node", "lo")).distinct())
@@ -355,5 +356,4 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     least = of_node.groupBy("component").agg(F.min("doc").alias("least"))
     of_node = of_node.join(least, "component").select("node", "least")
     out = run.rows.select("doc", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    back = lambda c: F.when(F.col(c) != _LOW, F.col(c))
-    return out.select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(back("least"), back("doc")).alias("component_id"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))

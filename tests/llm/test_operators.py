@@ -122,6 +122,14 @@ def test_jaccard_odd(odd, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_null_id_in_a_group(spark):
+    """A copy without an id leaves its group together, under the least id there is."""
+    same, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(9, same), (None, same), (5, same), (None, same + " tail"), (None, other), (None, other), (-(1 << 63), "a lone text of its own")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(9, 5): 1, (5, 5): 1, (None, 5): 2, (None, None): 2, (-(1 << 63), -(1 << 63)): 1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}

@@ -40,3 +40,13 @@ def test_near_copies_keep_one(spark):
     df = spark.createDataFrame([(i, " ".join(words[: 97 + i % 3])) for i in range(1, 30)], "doc_id long, text string")
     assert [r["component_id"] for r in jaccard.join(df).select("component_id").distinct().collect()] == [1]
     assert pii.find(df).where(F.size("spans") > 0).count() == 0
+
+
+def test_jaccard_stage_keeps_one_row_a_group(spark):
+    """Whatever ids are null or repeated: of each group one row, the first id's."""
+    same, other, third = (" ".join(f"{c}{i}" for i in range(30)) for c in "wvu")
+    rows = [(9, same), (None, same), (5, same), (5, same), (5, other), (7, other), (None, third), (None, third), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(pipeline.STAGES)["jaccard"](spark, df, SMALL)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(5, same), (5, other), (None, third), (8, None)], df.schema).collect()))
