@@ -212,6 +212,23 @@ def test_decontaminate_odd(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_decontaminate_parts_change_nothing(spark):
+    """Overlapping items in different parts, rows without an id and rows that repeat one."""
+    long = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(long[i : i + 14])) for i in range(0, 28, 2)], "item_id long, text string")
+    own = lambda n: " ".join(f"own{i}" for i in range(n))
+    passage = " ".join(long)
+    rows = [(1, f"{own(60)} {passage} end"), (1, f"{passage} {own(10)}"), (None, f"{own(45)}, {passage}"), (None, own(5)), (None, None), (2, f"{' '.join(long[:14])} {own(20)} {' '.join(long[26:])} {own(9)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    want = Counter((k, *hits(t or "", items)) for k, t in rows)
+    for part_words in (1_000_000, 30):
+        assert Counter(tuple(r)[:6] for r in decontaminate.find(df, bench, part_words=part_words).collect()) == want
+        got = Counter(map(tuple, decontaminate.clean(df, bench, part_words=part_words).collect()))
+        assert got == Counter([(1, f"{own(60)}  end"), (None, f"{own(45)}, "), (None, own(5)), (None, None), (2, f" {own(20)}  {own(9)}")])
+    assert len(decontaminate.parts(bench, "item_id", "text", 30)) > 2
+
+
 # op5
 
 
