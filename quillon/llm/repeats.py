@@ -19,8 +19,8 @@ Before each shuffle of positions every task drops (and marks) repeats within a b
 a passage that stands in a third of all documents is one row a batch, not one a document.
 Ranks are 64-bit hashes; repeats are told by a pair of them (128 bits).
 
-Defined cases: null and short texts lose nothing; rows that repeat an id are the same
-document; null ids count as the smallest; bytes are judged on the input.
+Defined cases: null and short texts lose nothing; every row is a document of its own, by id, null
+ids first, and by the text's hash where ids are equal; bytes are judged on the input.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ from quillon.llm.words import BYTE, RUN, U, buffers, mix, powers, runs
 LENGTH = 100
 GRAM = 32
 STEP = 18
-_LOW = -(1 << 63)
 #: Ranks, document, first start << 8 with the number of starts after it (255: b is the last start of a repeat), and the stretches' ranks.
 _PICKS = "a long, b long, doc long, place long, c0 long, c1 long"
 _RANKED = "kind int, doc long, first long, last long, c0 long, c1 long"
@@ -113,7 +112,7 @@ def stretch_keys(gram: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
 def _batch_picks(batch: pa.RecordBatch, length: int):
     """By stretch of bytes: the picks, first of each rank pair only, and starts of repeats within the stretch."""
     data, at = buffers(batch.column(1))
-    ids = batch.column(0).fill_null(_LOW).to_numpy()
+    ids = batch.column(0).to_numpy()
     for a, z, first, last in stretches(at, length):
         ends = np.minimum(at[first + 1 : last + 1], z) - a
         pick, ps, pe, sums = picks(data[a:z], ends, length)
@@ -225,7 +224,8 @@ def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def starts_of_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """doc, first and last: intervals of starts of strings that also start earlier.  ``docs`` is (doc, text)."""
+    """doc, first and last: intervals of starts of strings that also start earlier.  ``docs`` is
+    (doc, text), with a number of its own for every row, in the order of documents."""
     dealt = lambda df: df.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(ranked, _RANKED)
     one = cut(dealt(docs.mapInArrow(lambda x: sampled(x, length), _PICKS)), "repeats-1")
     # Keys of stretches are made on the workers as stretch_keys makes them for the expansion.
@@ -243,6 +243,14 @@ def starts_of_repeats(docs: DataFrame, length: int) -> DataFrame:
     return one.where("kind = 1").select("doc", "first", "last").unionByName(two.where("kind = 1").select("doc", "first", "last"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``doc``, a number that grows with id (null first) and the text's hash."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__hash").asc()]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__hash", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut(dealt.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "repeats-rows")
+
+
 def removed_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes covered by the strings that start in the intervals."""
     order = np.argsort(first, kind="stable")
@@ -255,9 +263,9 @@ def deduplicate(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "t
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that stay."""
     if not GRAM < length <= GRAM - 1 + 4 * STEP:
         raise ValueError(f"length must be over {GRAM} and at most {GRAM - 1 + 4 * STEP}")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    found = starts_of_repeats(rows, length).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    joined = rows.join(found.withColumnRenamed("doc", "__doc"), F.coalesce("doc", F.lit(_LOW)) == F.col("__doc"), "left").drop("__doc")
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    found = starts_of_repeats(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    joined = rows.join(found.withColumnRenamed("doc", "__doc"), F.col("doc") == F.col("__doc"), "left").drop("__doc")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,4 +285,4 @@ def deduplicate(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "t
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.select("doc", "text", "first", "last").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.select("doc_id", "text", "first", "last").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -319,6 +319,19 @@ def test_repeats_odd(odd, empty):
     assert repeats.deduplicate(empty).count() == 0
 
 
+def test_repeats_rows_of_one_id(spark):
+    """Rows without an id, and rows that repeat one, lose only what stands in an earlier row."""
+    random = np.random.default_rng(4)
+    word = lambda n: "".join(random.choice(list("abcdefgh "), n))
+    passage, late = word(150), word(120)
+    rows = [(None, passage + word(200)), (None, passage + word(90)), (None, word(400)), (None, word(30)), (3, late + word(50)), (3, word(300)), (3, word(70) + late), (4, late), (4, late)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = df.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()
+    want = removed({i: r["text"] for i, r in enumerate(ordered)})
+    got = Counter(tuple(r)[:5] for r in repeats.deduplicate(df).collect())
+    assert got == Counter((r["doc_id"], *want[i]) for i, r in enumerate(ordered))
+
+
 # op8
 
 
