@@ -1,23 +1,27 @@
-"""N-gram Jaccard join: a count-vector R-tree over shingle sets.
+"""N-gram Jaccard join: a forest of count-vector R-trees over shingle sets.
 
-The shingles of a text are hashed into groups, as many as shingles (``GROUPS`` to
+The shingles of a text are hashed into groups, about a quarter as many as shingles (``GROUPS`` to
 ``MOST_GROUPS``, in powers of two, so that points fold); the counts by group are a point.
 Two sets' overlap is at most the sum of the smaller coordinates of their points, and at most
 the same sum with the upper corner of a box of points, so an R-tree of boxes finds the pairs
-that may reach the threshold; the survivors are verified on the sets themselves.
+that may reach the threshold; the survivors are verified on the sets themselves.  Every pair
+that is ever verified was let through by a tree.
 
-Which points meet in one tree is decided without loss: of two sets with a Jaccard of 0.8, each
+One tree over all points could not prune: boxes of unlike texts of like size overlap.  So the
+points are parted into a forest first, without loss: of two sets with a Jaccard of 0.8, each
 has one of its rarest fifth of shingles (in one order for all: by how often the shingle's
-``SLOTS`` slot occurs in the corpus, then by hash) in common with the other.  So
-1. texts with equal sets are one node;
-2. nodes are posted under their rarest fifth; shingles of one node drop out;
-3. by shingle, every node is compared with one node, then with two others (the smallest id,
-   the largest, one at random): what links is merged;
-4. shingles that still have nodes of different components get an R-tree each, and every pair
-   of different components that passes the bound is verified.
-Groups of thousands of near copies are merged by step 3 with a number of comparisons in
-proportion to their postings; step 4 makes the result exact.  A shingle with many nodes is dealt into blocks of ``BLOCK``
-nodes, and every two blocks form a tree of their own.
+``SLOTS`` slot occurs in the corpus, then by hash) in common with the other, and a shingle's
+sets are one tree.
+1. Texts with equal sets are one node.
+2. Nodes are posted under their rarest fifth; shingles of one node drop out, and of shingles
+   with the same nodes one stands for all.
+3. Nearest neighbours: every node asks its trees for the node before it (smaller, then by id) with
+   the highest bound, and the best answer of all is verified.  This links groups of thousands of
+   near copies with one comparison a node.
+4. What is left: trees that still hold nodes of different components give every pair of
+   different components that passes the bound, and all of them are verified.
+A shingle with many nodes is dealt into blocks of ``BLOCK`` nodes; in step 4 every two blocks
+form a tree of their own.
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased.  Defined cases: texts
 without words have no shingles and are linked with nothing; fewer words than ``width`` are one
@@ -42,31 +46,30 @@ from quillon.llm.words import U, mix, shingle_sets
 WIDTH = 5
 GROUPS = 64
 MOST_GROUPS = 4096
+PER_GROUP = 4
 SLOTS = 1 << 18
 PART = 256
 BLOCK = 2048
 PERCENT = 80
+#: Of a node's answers, so many with the highest coarse bounds are bounded again over all groups.
+NEAREST = 8
 
 
 def groups_for(n: int) -> int:
-    """As many groups as shingles, as a power of two from ``GROUPS`` to ``MOST_GROUPS``."""
-    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n - 1).bit_length()))
+    """A quarter as many groups as shingles, as a power of two from ``GROUPS`` to ``MOST_GROUPS``."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << (n // PER_GROUP).bit_length()))
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """Counts by group, in as few bytes each as their sum needs."""
-    n = len(shingles)
-    groups = groups_for(n)
-    return np.bincount((shingles % U(groups)).astype(np.int64), minlength=groups).astype(_kind(n)).tobytes()
-
-
-def _kind(n: int) -> type:
-    return np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32
+    """Counts by group, in a byte each where they fit and in four where not."""
+    groups = groups_for(len(shingles))
+    counts = np.bincount((shingles % U(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
 
 
 def folded(at: np.ndarray, groups: int) -> np.ndarray:
     """Points (one a row) over fewer groups: those that are equal modulo ``groups`` add up."""
-    return at.reshape(len(at), -1, groups).sum(1, dtype=np.int32)
+    return at if at.shape[1] == groups else at.reshape(len(at), -1, groups).sum(1, dtype=np.int32)
 
 
 class Points:
@@ -75,30 +78,33 @@ class Points:
     def __init__(self, raw: list[bytes], n: np.ndarray):
         self.groups = np.array([groups_for(int(k)) for k in n], np.int64)
         self.place, self.at = np.zeros(len(n), np.int64), {}
-        for g in np.unique(self.groups):
+        for g in np.unique(self.groups).tolist():
             some = np.flatnonzero(self.groups == g)
-            self.at[int(g)] = np.stack([np.frombuffer(raw[k], _kind(int(n[k]))) for k in some])
+            each = [np.frombuffer(raw[k], np.uint8 if len(raw[k]) == g else np.uint32) for k in some]
+            self.at[g] = np.stack(each)
             self.place[some] = np.arange(len(some))
 
     def of(self, some: np.ndarray, groups: int) -> np.ndarray:
         """These points over so many groups, no more than any of them has."""
+        own = self.groups[some]
+        if len(some) and (own == groups).all():
+            return self.at[groups][self.place[some]]
         out = np.zeros((len(some), groups), np.int32)
-        for g in np.unique(self.groups[some]):
-            own = self.groups[some] == g
-            out[own] = folded(self.at[int(g)][self.place[some[own]]], groups)
+        for g in np.unique(own).tolist():
+            out[own == g] = folded(self.at[g][self.place[some[own == g]]], groups)
         return out
 
-
-def overlap_bounds(p: Points, a: np.ndarray, q: Points, b: np.ndarray) -> np.ndarray:
-    """The summed smaller coordinates of each pair, over the groups of the coarser of the two."""
-    out = np.zeros(len(a), np.int64)
-    common = np.minimum(p.groups[a], q.groups[b])
-    for g in np.unique(common):
-        own = np.flatnonzero(common == g)
-        for k in range(0, len(own), 2048):
-            part = own[k : k + 2048]
-            out[part] = np.minimum(p.of(a[part], int(g)), q.of(b[part], int(g))).sum(1)
-    return out
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The summed smaller coordinates of each pair, over the groups of the coarser of the two."""
+        out = np.zeros(len(a), np.int64)
+        common = np.minimum(self.groups[a], self.groups[b])
+        for g in np.unique(common).tolist():
+            own = np.flatnonzero(common == g)
+            step = max(1, (1 << 20) // g)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                out[part] = np.minimum(self.of(a[part], g), self.of(b[part], g)).sum(1, dtype=np.int64)
+        return out
 
 
 def prints(shingles: np.ndarray) -> tuple[int, int]:
@@ -126,7 +132,7 @@ def sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             at.append(point(s))
             slots += np.bincount((s % U(SLOTS)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
             if len(s) <= SLOTS // 8:
-                slots[(s % U(SLOTS)).astype(np.int64)] += 1
+                np.add.at(slots, (s % U(SLOTS)).astype(np.int64), 1)
         none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(again, pa.int64()), pa.array(at, pa.binary()), *none], names=names)
     blocks = slots.reshape(-1, PART)
@@ -166,24 +172,14 @@ def posted(batches: Iterator[pa.RecordBatch], slots: np.ndarray, width: int, per
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
 
-def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of points whose summed smaller coordinates reach the least overlap."""
-    for batch in batches:
-        a, b, n, m, p, q = (batch.column(k) for k in range(6))
-        n, m, every = n.to_numpy(), m.to_numpy(), np.arange(len(batch))
-        bound = overlap_bounds(Points(p.to_pylist(), n), every, Points(q.to_pylist(), m), every)
-        good = bound >= least_overlap(n, m, percent)
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
-
-
 class Tree:
-    """An R-tree over points packed by component and size: boxes of ``LEAF`` points, and boxes of
-    ``LEAF`` boxes, over ``GROUPS`` groups; points that pass are bounded again over all their groups."""
+    """An R-tree over points in the order given: boxes of ``LEAF`` points, and boxes of ``LEAF``
+    boxes, over the groups of the coarsest point; points that pass are bounded again over all their groups."""
 
     LEAF = 16
 
     def __init__(self, points: Points, n: np.ndarray):
-        at = points.of(np.arange(len(n)), GROUPS)
+        at = points.of(np.arange(len(n)), int(points.groups.min()))
         self.points, self.at, self.n = points, at, n
         self.levels = []
         top, low, high = at, n, n
@@ -192,57 +188,108 @@ class Tree:
             top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
             self.levels.append((top, low, high))
 
-    def reach(self, q: int, percent: int) -> np.ndarray:
-        """The points before ``q`` that pass the bound."""
+    def coarse(self, q: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points before ``q`` that the boxes and the coarse bound let through, with that bound."""
         p, n = self.at[q], self.n[q]
         at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(q)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = (x[at] for x in self.levels[depth])
             fits = (high * 100 >= percent * n) & (low * percent <= 100 * n)
-            fits &= np.minimum(p, top).sum(1) >= least_overlap(n, low, percent)
+            fits &= np.minimum(p, top).sum(1, dtype=np.int64) >= least_overlap(n, low, percent)
             at = (at[fits][:, None] * self.LEAF + np.arange(self.LEAF)).reshape(-1)
             limit = len(self.levels[depth - 1][0]) if depth else q
             at = at[at < limit]
-        at = at[at < q]
-        at = at[np.minimum(p, self.at[at]).sum(1) >= least_overlap(n, self.n[at], percent)]
-        return at[overlap_bounds(self.points, np.full(len(at), q), self.points, at) >= least_overlap(n, self.n[at], percent)]
+        bound = np.minimum(p, self.at[at]).sum(1, dtype=np.int64)
+        good = (bound >= least_overlap(n, self.n[at], percent)) & (self.n[at] * 100 >= percent * n) & (self.n[at] * percent <= 100 * n)
+        return at[good], bound[good]
 
+    def fine(self, q: int, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        bound = self.points.bounds(np.full(len(at), q), at)
+        good = bound >= least_overlap(self.n[q], self.n[at], percent)
+        return at[good], bound[good]
 
-def treed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shingle and blocks: pairs of different components that pass the bound."""
+    def reach(self, q: int, percent: int) -> np.ndarray:
+        """The points before ``q`` that pass the bound."""
+        return self.fine(q, self.coarse(q, percent)[0], percent)[0]
+
+    def nearest(self, q: int, percent: int) -> tuple[int, float] | None:
+        """Of the points before ``q`` one with a high bound on its Jaccard with ``q``, and the bound."""
+        at, bound = self.coarse(q, percent)
+        if len(at) > NEAREST:
+            some = np.argsort(-bound / (self.n[q] + self.n[at] - bound), kind="stable")[:NEAREST]
+            at, bound = at[some], bound[some]
+        at, bound = self.fine(q, at, percent)
+        if not len(at):
+            return None
+        share = bound / (self.n[q] + self.n[at] - bound)
+        return int(at[share.argmax()]), float(share.max())
+
+
+def _leaves(of: np.ndarray, size: int, comp: np.ndarray, n: np.ndarray, points: Points, percent: int):
+    """Groups of one ``size``, too small for a box: (earlier, later, bound) of the pairs of rows that pass. ``of``: their first rows."""
+    x, y = np.triu_indices(size, 1)
+    for k in range(0, len(of), max(1, (1 << 17) // len(x))):
+        first = of[k : k + max(1, (1 << 17) // len(x))]
+        a, b = (first[:, None] + x).reshape(-1), (first[:, None] + y).reshape(-1)
+        good = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
+        a, b = a[good], b[good]
+        bound = points.bounds(a, b)
+        good = bound >= least_overlap(n[a], n[b], percent)
+        yield a[good], b[good], bound[good]
+
+
+def searched(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shingle and block, a tree each: pairs of different components that pass the bound
+    (a, b and its share of the union), all of them or for every node ``b`` the ``nearest`` before it."""
     rest: pa.Table | None = None
 
-    def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        node, comp, n = (group[c].to_numpy() for c in ("node", "component", "n"))
-        if len(np.unique(comp)) < 2:
-            return None
-        order = np.lexsort((n, comp))
-        tree = Tree(Points(group["point"].take(pa.array(order)).to_pylist(), n[order]), n[order])
-        node, comp = node[order], comp[order]
-        out = []
-        for q in range(1, len(node)):
-            if comp[0] != comp[q]:  # before it stand other components
-                found = tree.reach(q, percent)
-                found = found[comp[found] != comp[q]]
-                out.append(np.stack([node[found], np.full(len(found), node[q])]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.min(0)), pa.array(both.max(0))], names=["a", "b"])
-
-    def groups(table: pa.Table, last: bool):
+    def pairs(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        node, comp, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+        points = Points(table["point"].to_pylist(), n)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        first, size = edges[:-1], np.diff(edges)
+        for s in np.unique(size[(size > 1) & (size <= Tree.LEAF)]).tolist():
+            for a, b, bound in _leaves(first[size == s], s, comp, n, points, percent):
+                found.append((a, b, bound / (n[a] + n[b] - bound)))
+        for k in np.flatnonzero(size > Tree.LEAF):
+            own = np.arange(first[k], first[k] + size[k])
+            if comp[own].min() == comp[own].max():
+                continue
+            if not nearest:
+                own = own[np.lexsort((n[own], comp[own]))]
+            tree = Tree(Points([table["point"][int(i)].as_py() for i in own], n[own]), n[own])
+            for q in range(1, len(own)):
+                if nearest:
+                    best = tree.nearest(q, percent)
+                    if best:
+                        found.append((own[[best[0]]], own[[q]], np.array([best[1]])))
+                elif comp[own[0]] != comp[own[q]]:  # before it stand other components
+                    at, bound = tree.fine(q, tree.coarse(q, percent)[0], percent)
+                    some = comp[own[at]] != comp[own[q]]
+                    at, bound = at[some], bound[some]
+                    found.append((own[at], np.full(len(at), own[q]), bound / (n[own[q]] + n[own[at]] - bound)))
+        a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
+        if nearest and len(a):
+            order = np.lexsort((node[a], -share, node[b]))
+            order = order[np.concatenate(([True], node[b][order][1:] != node[b][order][:-1]))]
+            a, b, share = a[order], b[order], share[order]
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(share)], names=["a", "b", "share"])
+
+    def whole(table: pa.Table, last: bool):
         key = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        edges = [0, *cuts.tolist(), table.num_rows]
-        for a, z in zip(edges[: None if last else -1], edges[1:] if last else edges[1:-1], strict=False):
-            yield table.slice(a, z - a)
-        yield None if last else table.slice(edges[-2])
+        edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]))
+        edges = edges if last else edges[:-1]
+        return table.slice(0, edges[-1]), edges, table.slice(edges[-1])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([rest, table]) if rest is not None else table
-        *whole, rest = groups(table, False)
-        yield from (x for x in map(pairs, whole) if x)
+        done, edges, rest = whole(table, False)
+        if done.num_rows:
+            yield pairs(done.combine_chunks(), edges)
     if rest is not None and rest.num_rows:
-        yield from (x for x in map(pairs, list(groups(rest, True))[:-1]) if x)
+        done, edges, _ = whole(rest, True)
+        yield pairs(done.combine_chunks(), edges)
 
 
 class Join:
@@ -262,95 +309,76 @@ class Join:
         if self.nodes.where("again <> other or n <> m").take(1):
             raise ArithmeticError("two different sets have the same 64-bit hash")
 
-    def postings(self) -> DataFrame:
-        """key, node and the key's smallest, largest and one other node, of shingles of several nodes."""
+    def forest(self) -> DataFrame:
+        """key, node and size: the shingles that part the nodes into trees, and the number of their nodes."""
         slots = self.spark.sparkContext.broadcast(self.slots)
         width, percent = self.width, self.percent
         all_of = cut(self.docs.select("text").mapInArrow(lambda x: posted(x, slots.value, width, percent), "key long, node long"), "jaccard-postings")
-        shared = all_of.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other")).where("lo <> hi")
-        shared = cut(shared, "jaccard-keys")
-        marks = self.spark.sparkContext.broadcast(bit_set(shared, "key", 26))
+        marks = self.spark.sparkContext.broadcast(bit_set(all_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", 26))
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
 
-        both = all_of.mapInArrow(marked, "key long, node long").join(shared, "key").select("key", "node", "lo", "hi", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
-        both = cut(both.distinct(), "jaccard-shared")
-        drop(all_of, shared)
-        return both
+        both = cut(all_of.mapInArrow(marked, "key long, node long").distinct(), "jaccard-shared")
+        drop(all_of)
+        whole = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+        sizes = both.groupBy("key").agg(F.count("*").alias("size"), *whole).where("size > 1")
+        stand = sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+        out = cut(both.join(stand, "key").select("key", "node", "size"), "jaccard-forest")
+        drop(both)
+        return out
+
+    def trees(self, rows: DataFrame, nearest: bool) -> DataFrame:
+        """a, b and share: what the trees of ``rows`` (key, node, component, size) let through."""
+        percent = self.percent
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        others = F.array(own) if nearest else F.sequence(F.lit(0), blocks - 1)
+        dealt = rows.withColumn("own", own).withColumn("k", F.explode(others)).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "component")
+        dealt = dealt.join(self.nodes.select("node", "n", "point"), "node").select("key", "i", "j", "n", "node", "component", "point")
+        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(lambda x: searched(x, percent, nearest), "a long, b long, share double")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b: nodes) that reach the threshold."""
+        """The pairs (a, b: nodes) that reach the threshold, by their sets, which come from a document of each node."""
         percent, width = self.percent, self.width
-        size, at = self.nodes.select("node", "n"), self.nodes.select("node", "point")
-        sized = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").where(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
-        both = cut(sized, "jaccard-sized").join(at.toDF("a", "p"), "a").join(at.toDF("b", "q"), "b")  # points go only where sizes fit
-        likely = cut(both.select("a", "b", "n", "m", "p", "q").mapInArrow(lambda x: bounded(x, percent), "a long, b long"), "jaccard-likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc"), "node")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc"), "node")
         marks = self.spark.sparkContext.broadcast(bit_set(ends.select(F.xxhash64("doc").alias("h")), "h"))
-        wanted = self.docs.select("doc", F.xxhash64("doc").alias("h"), "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(in_bit_set(marks.value, batch.column(1).to_numpy())))
-                some = [(prints(s)[0], s.tobytes()) for _, s in shingle_sets(batch.column(2), width) if len(s)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(range(0), pa.int64())) if not some else pa.array([k for k, _ in some], pa.int64()), pa.array([v for _, v in some], pa.binary())], names=["node", "shingles"])
-
-        # A node's set comes from its own document; one that is not asked for meets no pair below.
-        held = wanted.mapInArrow(sets, "node long, shingles binary")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                good = []
-                for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                    s, t = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-                    at = np.searchsorted(t, s)
-                    common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                    good.append(common * 100 >= percent * (len(s) + len(t) - common))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        paired = likely.join(held.toDF("a", "s"), "a").join(held.toDF("b", "t"), "b").select("a", "b", "s", "t")
-        return cut(paired.mapInArrow(check, "a long, b long"), "jaccard-links")
-
-    def remaining(self, shared: DataFrame, merged: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components that some R-tree lets through."""
-        percent = self.percent
-        rest = shared.where("node <> lo and node <> hi and node <> other")  # those have met every node of their shingle
-        at = rest.select("key", "node").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        # Sets that link differ in size by a factor of at most 100 / percent: they are of one band of sizes or of neighbours.
-        band = F.floor(F.log("n") / F.log(F.lit(100 / percent * (1 + 1e-9)))).cast("int")
-        at = at.join(self.nodes.select("node", "n"), "node").select("key", "node", "component", F.explode(F.array(band, band + 1)).alias("band"))
-        whole = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-        groups = at.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d"), *whole).where("c <> d")
-        # A passage gives many shingles with the same nodes: one of them stands for all.
-        open_keys = groups.groupBy("size", "x", "y").agg(F.min(F.struct("key", "band")).alias("k")).select("k.key", "k.band", "size")
-        rows = at.join(open_keys, ["key", "band"])
-        rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "component", "size").distinct().join(self.nodes.select("node", "n", "point"), "node")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = rows.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "component", "n", "point")
-        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x: treed(x, percent), "a long, b long").distinct()
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+                batch = batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
+                some = {}
+                for _, s in shingle_sets(batch.column(1), width):
+                    if len(s):
+                        some[prints(s)[0]] = s.view(np.int64)
+                if some:
+                    at = np.concatenate(([0], np.cumsum([len(s) for s in some.values()]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(list(some.values()))))], names=["node", "shingles"])
+
+        held = self.docs.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(sets, "node long, shingles array<long>")
+        held = held.dropDuplicates(["node"])  # rows may repeat an id and a text
+        paired = pairs.select("a", "b").join(held.toDF("a", "s"), "a").join(held.toDF("b", "t"), "b")
+        common = F.size(F.array_intersect("s", "t")).cast("long")
+        return cut(paired.withColumn("k", common).where(F.col("k") * 100 >= percent * (F.size("s") + F.size("t") - F.col("k"))).select("a", "b"), "jaccard-links")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id (null only if there is no
     other) that links of a Jaccard of ``percent`` reach."""
     run = Join(docs, doc_id, text, width, percent)
-    shared = run.postings()
-    links = run.verified(shared.where("node <> lo").select(*_ordered("node", "lo")).distinct())
-    merged = components(links)
-    part = merged.withColumnRenamed("component", "c")
-    others = shared.select("node", "lo", F.explode(F.array("hi", "other")).alias("to")).where("node <> to and node <> lo and to <> lo").select("node", "to").distinct()
-    others = others.join(part, "node", "left").join(part.toDF("to", "d"), "to", "left").where(F.coalesce("c", "node") != F.coalesce("d", "to"))
-    links = links.unionByName(run.verified(others.select(*_ordered("node", "to")).distinct()))
+    forest = run.forest()
+    near = run.trees(forest.withColumn("component", F.col("node")), nearest=True)
+    near = cut(near.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select("best.a", "b"), "jaccard-nearest")
+    links = run.verified(near)
     merged = cut(components(links), "jaccard-merged")
-    links = links.unionByName(run.verified(run.remaining(shared, merged)))
-    merged = components(links)
+    at = cut(forest.join(merged, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component")), "jaccard-placed")
+    drop(forest)
+    rest = at.join(at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key"), "key")
+    met = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = run.trees(rest, nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = run.verified(cut(left.join(met, ["a", "b"], "left_anti"), "jaccard-left"))
+    merged = components(links.unionByName(more))
     of_node = run.nodes.select("node", "doc").join(merged, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     of_node = cut(of_node, "jaccard-components")
     least = of_node.groupBy("component").agg(F.min("doc").alias("least"))

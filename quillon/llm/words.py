@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-RUN = 1 << 20
+RUN = 1 << 18
 U = np.uint64
 
 #: Space and the bytes 0x09 to 0x0D.
@@ -76,7 +76,7 @@ def _hashed(b: np.ndarray, heads: np.ndarray, gap: np.ndarray) -> tuple[np.ndarr
     cut[heads] = cut[-1] = cut[0] = True
     edge = np.flatnonzero(inside & (cut[:-1] | np.concatenate(([True], ~inside[:-1]))))
     end = np.flatnonzero(inside & (cut[1:] | np.concatenate((~inside[1:], [True])))) + 1
-    size = 1 << max(20, int(len(b)).bit_length())
+    size = 1 << max(18, int(len(b)).bit_length())
     up, down = powers(size)
     total = np.zeros(len(b) + 1, U)
     np.cumsum(BYTE[LOWER[b]] * up[: len(b)], out=total[1:])
