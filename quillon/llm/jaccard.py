@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a forest of count-vector R-trees over shingle sets.
 
-The shingles of a text are hashed into groups, about a quarter as many as shingles (``GROUPS`` to
+The shingles of a text are hashed into groups, about half as many as shingles (``GROUPS`` to
 ``MOST_GROUPS``, in powers of two, so that points fold); the counts by group are a point.
 Two sets' overlap is at most the sum of the smaller coordinates of their points, and at most
 the same sum with the upper corner of a box of points, so an R-tree of boxes finds the pairs
@@ -16,10 +16,12 @@ sets are one tree.
 2. Nodes are posted under their rarest fifth; shingles of one node drop out, and of shingles
    with the same nodes one stands for all.
 3. Nearest neighbours: every node asks its trees for the node before it (smaller, then by id) with
-   the highest bound, and the best answer of all is verified.  This links groups of thousands of
-   near copies with one comparison a node.
+   the highest bound, and the best answer of all is verified; trees in which no two nodes pass the
+   bound are done.  This links groups of thousands of near copies with one comparison a node.
+   It is repeated, asking for nodes of other components, until a round brings few links.
 4. What is left: trees that still hold nodes of different components give every pair of
-   different components that passes the bound, and all of them are verified.
+   different components that passes the bound, once (in the tree of the first shingle that both
+   have), and all of them are verified.
 A shingle with many nodes is dealt into blocks of ``BLOCK`` nodes; in step 4 every two blocks
 form a tree of their own.
 
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +49,19 @@ from quillon.llm.words import U, mix, shingle_sets
 WIDTH = 5
 GROUPS = 64
 MOST_GROUPS = 4096
-PER_GROUP = 4
+PER_GROUP = 2
 SLOTS = 1 << 18
 PART = 256
 BLOCK = 2048
 PERCENT = 80
 #: Of a node's answers, so many with the highest coarse bounds are bounded again over all groups.
 NEAREST = 8
+#: A node takes so many of its first shingles along, by which pairs that meet in several trees are told.
+FIRST = 32
 
 
 def groups_for(n: int) -> int:
-    """A quarter as many groups as shingles, as a power of two from ``GROUPS`` to ``MOST_GROUPS``."""
+    """Half as many groups as shingles, as a power of two from ``GROUPS`` to ``MOST_GROUPS``."""
     return min(MOST_GROUPS, max(GROUPS, 1 << (n // PER_GROUP).bit_length()))
 
 
@@ -212,18 +217,6 @@ class Tree:
         """The points before ``q`` that pass the bound."""
         return self.fine(q, self.coarse(q, percent)[0], percent)[0]
 
-    def nearest(self, q: int, percent: int) -> tuple[int, float] | None:
-        """Of the points before ``q`` one with a high bound on its Jaccard with ``q``, and the bound."""
-        at, bound = self.coarse(q, percent)
-        if len(at) > NEAREST:
-            some = np.argsort(-bound / (self.n[q] + self.n[at] - bound), kind="stable")[:NEAREST]
-            at, bound = at[some], bound[some]
-        at, bound = self.fine(q, at, percent)
-        if not len(at):
-            return None
-        share = bound / (self.n[q] + self.n[at] - bound)
-        return int(at[share.argmax()]), float(share.max())
-
 
 def _leaves(of: np.ndarray, size: int, comp: np.ndarray, n: np.ndarray, points: Points, percent: int):
     """Groups of one ``size``, too small for a box: (earlier, later, bound) of the pairs of rows that pass. ``of``: their first rows."""
@@ -238,42 +231,70 @@ def _leaves(of: np.ndarray, size: int, comp: np.ndarray, n: np.ndarray, points:
         yield a[good], b[good], bound[good]
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the two rows of a pair have a shingle below their tree's in common, among the ``first`` of each."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 12):
+        own = slice(k, k + (1 << 12))
+        same = (first[a[own]][:, :, None] == first[b[own]][:, None, :]) & (first[a[own]] < key[a[own]][:, None])[:, :, None]
+        out[own] = same.any((1, 2))
+    return out
+
+
 def searched(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shingle and block, a tree each: pairs of different components that pass the bound
-    (a, b and its share of the union), all of them or for every node ``b`` the ``nearest`` before it."""
+    (a, b and the bound's share of the union), all of them or for every node ``b`` the ``nearest`` before it;
+    rows with the key alone name the trees in which some pair may pass."""
     rest: pa.Table | None = None
 
-    def pairs(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        node, comp, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+    def pairs(table: pa.Table, edges: np.ndarray) -> list[pa.RecordBatch]:
+        key, node, comp, n = (table[c].to_numpy() for c in ("key", "node", "component", "n"))
         points = Points(table["point"].to_pylist(), n)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        first, size = edges[:-1], np.diff(edges)
+        first, size, open_keys = edges[:-1], np.diff(edges), [np.zeros(0, np.int64)]
         for s in np.unique(size[(size > 1) & (size <= Tree.LEAF)]).tolist():
             for a, b, bound in _leaves(first[size == s], s, comp, n, points, percent):
                 found.append((a, b, bound / (n[a] + n[b] - bound)))
+                open_keys.append(np.unique(key[a]))
         for k in np.flatnonzero(size > Tree.LEAF):
             own = np.arange(first[k], first[k] + size[k])
             if comp[own].min() == comp[own].max():
                 continue
             if not nearest:
                 own = own[np.lexsort((n[own], comp[own]))]
-            tree = Tree(Points([table["point"][int(i)].as_py() for i in own], n[own]), n[own])
+            tree, some = Tree(Points([table["point"][int(i)].as_py() for i in own], n[own]), n[own]), False
             for q in range(1, len(own)):
-                if nearest:
-                    best = tree.nearest(q, percent)
-                    if best:
-                        found.append((own[[best[0]]], own[[q]], np.array([best[1]])))
-                elif comp[own[0]] != comp[own[q]]:  # before it stand other components
-                    at, bound = tree.fine(q, tree.coarse(q, percent)[0], percent)
-                    some = comp[own[at]] != comp[own[q]]
-                    at, bound = at[some], bound[some]
-                    found.append((own[at], np.full(len(at), own[q]), bound / (n[own[q]] + n[own[at]] - bound)))
+                at, bound = tree.coarse(q, percent)
+                other = comp[own[at]] != comp[own[q]]
+                at, bound = at[other], bound[other]
+                if not len(at):
+                    continue
+                some = True
+                if nearest and len(at) > NEAREST:
+                    best = np.argsort(-bound / (tree.n[q] + tree.n[at] - bound), kind="stable")[:NEAREST]
+                    at = at[best]
+                at, bound = tree.fine(q, at, percent)
+                share = bound / (tree.n[q] + tree.n[at] - bound)
+                if nearest and len(at):
+                    at, share = at[[share.argmax()]], share[[share.argmax()]]
+                found.append((own[at], np.full(len(at), own[q]), share))
+            if some:
+                open_keys.append(key[own[:1]])
         a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
-        if nearest and len(a):
+        if nearest:
             order = np.lexsort((node[a], -share, node[b]))
-            order = order[np.concatenate(([True], node[b][order][1:] != node[b][order][:-1]))]
+            order = order[np.concatenate((np.ones(min(1, len(a)), bool), node[b][order][1:] != node[b][order][:-1]))]
             a, b, share = a[order], b[order], share[order]
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(share)], names=["a", "b", "share"])
+        elif len(a):
+            most = pc.list_value_length(table["first"]).to_numpy()
+            firsts = np.full((len(node), max(1, most.max())), np.iinfo(np.int64).max)
+            firsts[np.arange(firsts.shape[1]) < most[:, None]] = table["first"].combine_chunks().flatten().to_numpy() if isinstance(table["first"], pa.ChunkedArray) else table["first"].flatten().to_numpy()
+            new = ~_met_before(a, b, key, firsts)
+            a, b, share = a[new], b[new], share[new]
+        marks = np.concatenate(open_keys) if nearest else np.zeros(0, np.int64)
+        none = pa.nulls(len(marks), pa.int64())
+        columns = [pa.chunked_array([pa.array(x), y]) for x, y in ((node[a], none), (node[b], none), (share, none.cast(pa.float64())))]
+        return pa.table([*columns, pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(marks)])], names=["a", "b", "share", "key"]).combine_chunks().to_batches()
 
     def whole(table: pa.Table, last: bool):
         key = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
@@ -286,10 +307,10 @@ def searched(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) ->
         table = pa.concat_tables([rest, table]) if rest is not None else table
         done, edges, rest = whole(table, False)
         if done.num_rows:
-            yield pairs(done.combine_chunks(), edges)
+            yield from pairs(done.combine_chunks(), edges)
     if rest is not None and rest.num_rows:
         done, edges, _ = whole(rest, True)
-        yield pairs(done.combine_chunks(), edges)
+        yield from pairs(done.combine_chunks(), edges)
 
 
 class Join:
@@ -330,14 +351,23 @@ class Join:
         return out
 
     def trees(self, rows: DataFrame, nearest: bool) -> DataFrame:
-        """a, b and share: what the trees of ``rows`` (key, node, component, size) let through."""
+        """a, b and share: what the trees of ``rows`` (key, node, component, size) let through; key: trees that are not done."""
         percent = self.percent
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         others = F.array(own) if nearest else F.sequence(F.lit(0), blocks - 1)
         dealt = rows.withColumn("own", own).withColumn("k", F.explode(others)).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "component")
-        dealt = dealt.join(self.nodes.select("node", "n", "point"), "node").select("key", "i", "j", "n", "node", "component", "point")
-        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(lambda x: searched(x, percent, nearest), "a long, b long, share double")
+        dealt = dealt.join(self.nodes.select("node", "n", "point"), "node")
+        if not nearest:
+            dealt = dealt.join(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first")), "node")
+        dealt = dealt.select("key", "i", "j", "n", "node", "component", "point", *([] if nearest else ["first"]))
+        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(lambda x: searched(x, percent, nearest), "a long, b long, share double, key long")
+
+    def nearest(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of each node's nearest, and the keys of the trees that are not done."""
+        near = cut(self.trees(rows, nearest=True), "jaccard-nearest")
+        best = near.where("b is not null").groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select("best.a", "b")
+        return self.verified(best), near.where("b is null").select("key")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b: nodes) that reach the threshold, by their sets, which come from a document of each node."""
@@ -368,16 +398,25 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     other) that links of a Jaccard of ``percent`` reach."""
     run = Join(docs, doc_id, text, width, percent)
     forest = run.forest()
-    near = run.trees(forest.withColumn("component", F.col("node")), nearest=True)
-    near = cut(near.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select("best.a", "b"), "jaccard-nearest")
-    links = run.verified(near)
-    merged = cut(components(links), "jaccard-merged")
-    at = cut(forest.join(merged, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component")), "jaccard-placed")
+    links, undone = run.nearest(forest.withColumn("component", F.col("node")))
+    undone = undone.unionByName(forest.where(F.col("size") > BLOCK).select("key")).distinct()  # blocks have met none but themselves
+    rest = cut(forest.join(undone, "key").select("key", "node", "size"), "jaccard-rest")
     drop(forest)
-    rest = at.join(at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key"), "key")
-    met = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = False
+    while True:
+        merged = components(links)
+        at = rest.join(merged, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        at = cut(at, "jaccard-placed")
+        mixed = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
+        rest = cut(at.join(mixed, "key"), "jaccard-rest")
+        if few:
+            break
+        more, _ = run.nearest(rest)
+        links = links.unionByName(more)
+        few = more.count() * 10 < links.count()
+        rest = rest.drop("component")
     left = run.trees(rest, nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = run.verified(cut(left.join(met, ["a", "b"], "left_anti"), "jaccard-left"))
+    more = run.verified(cut(left, "jaccard-left"))
     merged = components(links.unionByName(more))
     of_node = run.nodes.select("node", "doc").join(merged, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     of_node = cut(of_node, "jaccard-components")

@@ -1,26 +1,32 @@
 """Repeated passages: distributed prefix doubling over sampled suffix positions.
 
 A byte goes when a string of ``length`` bytes that covers it also starts earlier (smaller
-document id, or the same document and an earlier start).  Ranking every byte position by
-doubling would shuffle some 24 bytes for each byte of text and round, so positions are sampled
-without loss first: every window of ``length`` bytes picks its smallest ``GRAM``-byte hash
-(leftmost of equals).  Equal windows pick the same place in them, so what repeats shares picks.
-
-Spark sorts rank pairs with their positions in rounds of growing reach, and what is alone in
-its rank is unique and drops out:
-1. the ``GRAM`` bytes at the pick, paired with all bytes of the windows that share the pick.
-   In a pair with several positions all but the first start repeats.
-2. where one gram stands in different surroundings (the edges of a repeat), stretches of
-   ``length`` - ``STEP`` + 1 bytes at offsets 0, -``STEP``, -2 ``STEP``, ... from the pick.
-3. the windows over a stretch that is not unique, one by one, by all ``length`` bytes; all but
-   the first position of a rank start repeats.
-
-Before each shuffle of positions every task drops (and marks) repeats within a batch of documents, so
-a passage that stands in a third of all documents is one row a batch, not one a document.
-Ranks are 64-bit hashes; repeats are told by a pair of them (128 bits).
-
-Defined cases: null and short texts lose nothing; every row is a document of its own, by id, null
-ids first, and by the text's hash where ids are equal; bytes are judged on the input.
+document id, or the same document and an earlier start).  Prefix doubling names the string of
+32, 64, 128, ... bytes at a position by a rank; the rank of twice the reach comes from the pair of
+ranks at a position and one reach further on (or less far, where the threshold is nearer).
+Spark sorts positions by their rank pairs; what is alone in its rank is unique and drops out.
+
+Ranking every byte position would shuffle some 24 bytes for each byte of text and round, so
+sampling narrows what enters, without loss: every window of ``length`` bytes picks its smallest
+string of ``GRAM`` = 32 bytes (by hash; leftmost of equals).  Equal windows pick the same place in
+them, so what repeats shares picks, and the windows that share a pick are one block.
+1. Reach 32: picks are counted by rank; unique ones drop out.  Those left are sorted by the
+   pair of the pick's rank and the whole block's: of equal blocks all but the first repeat.
+2. Reach 64, over the first block of each pair: every window covers the pick and the 32 bytes
+   after it, or the 32 before it.  The rank pairs at offsets +32 and -32 are counted by rank; windows
+   whose pair is unique drop out.
+3. Reach 100, past the threshold: the windows left, one by one, are sorted by the pair of their ranks
+   of 64 bytes at offsets 0 and ``length`` - 64; all but the first position of a pair start repeats.
+
+Ranks are named by hashes of 64 bits.  Both halves of a sorted pair come from different hash
+functions, so pairs that are told equal agree in 128 bits; counts only ever let more through.
+Before each sort every task drops (and marks) repeats within a batch of documents, so a passage that
+stands in a third of all documents is one row a batch, not one a document.  Sorts are dealt by the
+whole pair, so a string with many different surroundings is spread over all tasks.
+
+Defined cases: null and short texts lose nothing; documents are ordered by id, null as the smallest
+long, and where ids are equal by the text's hash; rows that repeat an id and its text are the same
+document, and all lose the same; bytes are judged on the input.
 """
 
 from __future__ import annotations
@@ -30,31 +36,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.store import cut
 from quillon.llm.common import bit_set, in_bit_set
-from quillon.llm.words import BYTE, RUN, U, buffers, mix, powers, runs
+from quillon.llm.words import BYTE, RUN, U, buffers, mix, runs
 
 LENGTH = 100
 GRAM = 32
-STEP = 18
-#: Ranks, document, first start << 8 with the number of starts after it (255: b is the last start of a repeat), and the stretches' ranks.
-_PICKS = "a long, b long, doc long, place long, c0 long, c1 long"
-_RANKED = "kind int, doc long, first long, last long, c0 long, c1 long"
+REACH = 64
+BITS = 26
+#: Rows of positions to be sorted: the rank pair, the document, and the first start << 8 with the
+#: number of starts after it (255: of a repeat that is known already, whose last start is ``b``).
+_NAMES = ["a", "b", "doc", "tie", "place", "before", "after"]
+_PLACED = ", ".join(f"{c} long" for c in _NAMES)
+_RANKED = "kind int, doc long, tie long, first long, last long, before long, after long"
+_BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
+_BYTES = (BYTE, mix(BYTE + U(0x2545F4914F6CDD1D)))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64; the largest asked for are kept."""
+    if family not in _POWERS or len(_POWERS[family][0]) < n:
+        up, down = np.full(n, _BASES[family], U), np.full(n, pow(_BASES[family], -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        _POWERS[family] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[family]
 
 
 class Sums:
-    """Hashes of any stretch of some bytes."""
+    """Hashes of any stretch of some bytes, by one of two families of hash functions."""
 
-    def __init__(self, b: np.ndarray):
-        self.up, self.down = powers(1 << max(21, len(b).bit_length()))
+    def __init__(self, b: np.ndarray, family: int = 0):
+        up, self.down = _powers(1 << max(19, len(b).bit_length()), family)
+        self.family = family
         self.total = np.zeros(len(b) + 1, U)
-        np.cumsum(BYTE[b] * self.up[: len(b)], out=self.total[1:])
+        np.cumsum(_BYTES[family][b] * up[: len(b)], out=self.total[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U) + U(salt))
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U) + U(self.family))
+
+    def all_of(self, size: int) -> np.ndarray:
+        """Of the stretches of ``size`` bytes at every start."""
+        n = len(self.total) - size
+        return mix((self.total[size:] - self.total[:n]) * self.down[:n] + U(size + self.family))
 
 
 def stretches(at: np.ndarray, length: int):
@@ -68,15 +96,14 @@ def stretches(at: np.ndarray, length: int):
             yield int(at[first]), int(at[last]), first, last
 
 
-def picks(b: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sums]:
-    """Pick, first and last window start of each pick of the documents in ``b``, which end at ``ends``."""
+def picks(b: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sums]:
+    """Pick, first and last window start and rank of each pick of the documents in ``b``, which end at ``ends``."""
     none = np.zeros(0, np.int64)
     sums = Sums(b)
-    n = len(b) - GRAM + 1
     if len(b) < length:
-        return none, none, none, sums
-    start = np.arange(n)
-    low = (sums.of(start, start + GRAM) & ~U((1 << 22) - 1)) | start.astype(U)
+        return none, none, none, none.astype(U), sums
+    gram = sums.all_of(GRAM)
+    low = (gram & ~U((1 << 22) - 1)) | np.arange(len(gram), dtype=U)
     width, have = length - GRAM + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -89,166 +116,158 @@ def picks(b: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.nda
     good = p + length <= ends[np.minimum(doc, len(ends) - 1)]
     p, pick, doc = p[good], pick[good], doc[good]
     if not len(p):
-        return none, none, none, sums
+        return none, none, none, none.astype(U), sums
     new = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1]))))
-    return pick[new], p[new], p[np.concatenate((new[1:] - 1, [len(p) - 1]))], sums
-
-
-def stretch_ranks(pick: np.ndarray, ps: np.ndarray, pe: np.ndarray, sums: Sums, length: int) -> list[np.ndarray]:
-    """For each step to the left a 32-bit rank of the stretch that all windows of that step share, 0 where there are none."""
-    out = []
-    for j in range(-(-(length - GRAM + 1) // STEP)):
-        has = (ps <= pick - STEP * j) & (pe > pick - STEP * (j + 1))
-        start = np.where(has, pick - STEP * j, 0)
-        h = sums.of(start, np.where(has, start + length - STEP + 1, 0), 2)
-        out.append(np.where(has, (h >> U(32)) | U(1), U(0)))
-    return out
+    return pick[new], p[new], p[np.concatenate((new[1:] - 1, [len(p) - 1]))], gram[pick[new]], sums
 
 
-def stretch_keys(gram: np.ndarray, ranks: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.where(r > 0, mix(gram ^ mix(r + (U(j + 1) << U(40)))), U(0)) for j, r in enumerate(ranks)]
-
-
-def _batch_picks(batch: pa.RecordBatch, length: int):
-    """By stretch of bytes: the picks, first of each rank pair only, and starts of repeats within the stretch."""
-    data, at = buffers(batch.column(1))
-    ids = batch.column(0).to_numpy()
+def _picked(batch: pa.RecordBatch, length: int):
+    """By stretch of bytes of (doc, tie, text): pick, first and last start, rank, sums, bytes, doc, tie and the document's first byte."""
+    data, at = buffers(batch.column(2))
+    doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     for a, z, first, last in stretches(at, length):
         ends = np.minimum(at[first + 1 : last + 1], z) - a
-        pick, ps, pe, sums = picks(data[a:z], ends, length)
-        if not len(pick):
-            continue
-        own = np.searchsorted(ends, ps, "right")
-        yield pick, ps, pe, sums, ids[first:last][own], at[first:last][own] - a
-
-
-def _rows(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray, c0: np.ndarray | None = None, c1: np.ndarray | None = None) -> pa.RecordBatch:
-    none = np.zeros(len(a), np.int64)
-    columns = (a, b, doc, place, none if c0 is None else c0, none if c1 is None else c1)
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c.astype(np.int64, copy=False)) for c in columns], names=["a", "b", "doc", "place", "c0", "c1"])
+        pick, ps, pe, gram, sums = picks(data[a:z], ends, length)
+        if len(pick):
+            own = first + np.searchsorted(ends, ps, "right")
+            yield pick, ps, pe, gram, sums, data[a:z], doc[own], tie[own], at[own] - a
 
 
-def _starts(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """Starts of repeats, those that touch as one row, dealt out by document."""
-    order = np.lexsort((first, doc))
-    doc, first, last = doc[order], first[order], last[order]
-    if len(doc):
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1))))
-        doc, first, last = doc[new], first[new], last[np.concatenate((new[1:] - 1, [len(doc) - 1]))]
-    return _rows(mix(doc.astype(U) + first.astype(U)), last, doc, first << 8 | 255)
+def _sides(pick: np.ndarray, ps: np.ndarray, pe: np.ndarray, sums: Sums, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of 64 bytes that end, and that start, with the pick's; 0 where no window of the block has them."""
+    has_before, has_after = ps <= pick - GRAM, pe >= pick + REACH - length
+    out = []
+    for has, start in ((has_before, pick - GRAM), (has_after, pick)):
+        start = np.where(has, start, 0)
+        out.append(np.where(has, sums.of(start, start + np.where(has, REACH, 0)) | U(1), U(0)))
+    return out[0], out[1]
 
 
-def _firsts(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are the first of their rank pair, and which stand after it."""
-    order = np.lexsort((start, doc, b, a))
-    a, b, doc, start = a[order], b[order], doc[order], start[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order[new], order[~new & ((doc != doc[head]) | (start != start[head]))]
+def _position(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(U) + mix(tie.astype(np.int64).view(U) + mix(start.astype(np.int64).view(U))))
 
 
-def sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Round 1: picks with their rank pair, one row a pair and batch, and the repeats within the batch."""
+def _rows(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(a), np.int64)
+    columns = (a, b, doc, tie, place, none if before is None else before, none if after is None else after)
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c.astype(np.int64, copy=False)) for c in columns], names=_NAMES)
+
+
+def _marked(a: np.ndarray, b: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, more: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Within a batch: the first row of each rank pair, and those after it as repeats, which touch as one row."""
+    order = np.lexsort((start, tie, doc, b, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    k = order[new]
+    yield _rows(a[k], b[k], doc[k], tie[k], start[k] << 8 | more[k], *(x[k] for x in (before, after) if x is not None))
+    head = k[np.cumsum(new) - 1]
+    again = order[~new & ((doc[order] != doc[head]) | (tie[order] != tie[head]) | (start[order] != start[head]))]
+    again = again[np.lexsort((start[again], tie[again], doc[again]))]
+    if len(again):
+        doc, tie, first, last = doc[again], tie[again], start[again], start[again] + more[again]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (first[1:] > last[:-1] + 1))))
+        doc, tie, first, last = doc[new], tie[new], first[new], last[np.concatenate((new[1:] - 1, [len(doc) - 1]))]
+        yield _rows(_position(doc, tie, first), last, doc, tie, first << 8 | 255)
+
+
+def counted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The rank of every pick."""
     for batch in batches:
-        parts = []
-        for pick, ps, pe, sums, doc, base in _batch_picks(batch, length):
-            r = stretch_ranks(pick, ps, pe, sums, length)
-            r += [np.zeros(len(pick), U)] * (4 - len(r))
-            parts.append((sums.of(pick, pick + GRAM), sums.of(ps, pe + length, 1), doc, ps - base, pe - ps, r[0] | r[1] << U(32), r[2] | r[3] << U(32)))
-        if parts:
-            gram, whole, doc, start, more, c0, c1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-            new, again = _firsts(gram, whole, doc, start)
-            yield _rows(gram[new], whole[new], doc[new], start[new] << 8 | more[new], c0[new], c1[new])
-            yield _starts(doc[again], start[again], start[again] + more[again])
+        for _, _, _, gram, *_ in _picked(batch, length):
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["a"])
 
 
-def expanded(batches: Iterator[pa.RecordBatch], length: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Round 3: every window over a stretch in ``shared``, one row a rank and batch."""
+def blocked(batches: Iterator[pa.RecordBatch], length: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Picks with a rank in ``shared``, with the pair of the pick's and the block's rank and the ranks of reach 64."""
     for batch in batches:
         parts = []
-        for pick, ps, pe, sums, doc, base in _batch_picks(batch, length):
-            gram = sums.of(pick, pick + GRAM)
-            keep, _ = _firsts(gram, sums.of(ps, pe + length, 1), doc, ps - base)
-            keys = stretch_keys(gram, stretch_ranks(pick, ps, pe, sums, length))
-            for j, key in enumerate(keys):
-                k = keep[(key[keep] > 0) & in_bit_set(shared, key[keep])]
-                lo, hi = np.maximum(ps[k], pick[k] - STEP * (j + 1) + 1), np.minimum(pe[k], pick[k] - STEP * j)
-                n = hi - lo + 1
-                of = np.repeat(k, n)
-                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                parts.append((gram[of], sums.of(p, p + length, 3), doc[of], p - base[of]))
+        for pick, ps, pe, gram, sums, data, doc, tie, base in _picked(batch, length):
+            k = np.flatnonzero(in_bit_set(shared, gram))
+            if len(k):
+                whole = Sums(data, 1).of(ps[k], pe[k] + length)
+                parts.append((gram[k], whole, doc[k], tie[k], (ps - base)[k], (pe - ps)[k], *_sides(pick[k], ps[k], pe[k], sums, length)))
         if parts:
-            gram, whole, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(gram):
-                new, again = _firsts(gram, whole, doc, start)
-                yield _rows(gram[new], whole[new], doc[new], start[new] << 8)
-                yield _starts(doc[again], start[again], start[again])
-
-
-def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by rank pair and position.  Kind 1: starts of repeats.  Kind 2: the
-    stretches' keys of grams that stand in different surroundings."""
+            yield from _marked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    def rows(kind: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(c) for c in (doc, first, last, c0, c1))], names=["kind", "doc", "first", "last", "c0", "c1"])
 
-    before = None  # the last rank pair and its first position
-    alone = None  # the last gram's only row that may still turn out to have different surroundings
+def windowed(batches: Iterator[pa.RecordBatch], length: int, shared: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of blocks whose place is in ``places`` every window over a string of 64 bytes in ``shared``, with its pair of ranks."""
     for batch in batches:
-        a, b, doc, place, c0, c1 = (batch.column(k).to_numpy() for k in range(6))
+        parts, held = [], 0
+        for pick, ps, pe, _, sums, data, doc, tie, base in _picked(batch, length):
+            k = np.flatnonzero(in_bit_set(places, _position(doc, tie, ps - base)))
+            if not len(k):
+                continue
+            pick, ps, pe, doc, tie, base = (x[k] for x in (pick, ps, pe, doc, tie, base))
+            before, after = ((side > 0) & in_bit_set(shared, side) for side in _sides(pick, ps, pe, sums, length))
+            n = pe - ps + 1
+            of = np.repeat(np.arange(len(k)), n)
+            p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + ps[of]
+            some = (before[of] & (p <= pick[of] - GRAM)) | (after[of] & (p >= pick[of] + REACH - length))
+            of, p = of[some], p[some]
+            rank = sums.of(p, p + REACH), Sums(data, 1).of(p + length - REACH, p + length)
+            parts.append((*rank, doc[of], tie[of], p - base[of], np.zeros(len(p), np.int64)))
+            held += len(p)
+            if held > 1 << 18:
+                yield from _marked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts, held = [], 0
+        if held:
+            yield from _marked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def ranked(batches: Iterator[pa.RecordBatch], firsts: bool) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by rank pair and position.  Kind 1: starts of repeats.  Kind 2, if ``firsts``: the first of each pair."""
+
+    def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        names = ["kind", "doc", "tie", "first", "last", "before", "after"]
+        columns += tuple(np.zeros(len(columns[0]), np.int64) for _ in range(6 - len(columns)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c) for c in columns)], names=names)
+
+    pair = head = None  # the last rank pair and its first position
+    for batch in batches:
+        a, b, doc, tie, place, before, after = (batch.column(k).to_numpy() for k in range(7))
         start, more = place >> 8, place & 255
         done = more == 255
         if done.any():
-            yield rows(1, doc[done], start[done], b[done], c0[done], c1[done])
-            a, b, doc, start, more, c0, c1 = (x[~done] for x in (a, b, doc, start, more, c0, c1))
+            yield rows(1, doc[done], tie[done], start[done], b[done])
+            a, b, doc, tie, start, more, before, after = (x[~done] for x in (a, b, doc, tie, start, more, before, after))
         if not len(a):
             continue
-        same_a = np.concatenate(([before is not None and a[0] == before[0]], a[1:] == a[:-1]))
-        same = same_a & np.concatenate(([before is not None and b[0] == before[1]], b[1:] == b[:-1]))
-        head = np.maximum.accumulate(np.where(~same, np.arange(len(a)), -1))
-        first_doc, first_start = doc[np.maximum(head, 0)], start[np.maximum(head, 0)]
-        if before is not None:
-            first_doc, first_start = np.where(head < 0, before[2], first_doc), np.where(head < 0, before[3], first_start)
-        again = same & ((doc != first_doc) | (start != first_start))
-        yield rows(1, doc[again], start[again], start[again] + more[again], c0[again], c1[again])
-        heads = np.flatnonzero(~same)
-        other = same_a[heads]  # a further surrounding of the gram before
-        both = other | np.concatenate((other[1:], [False]))
-        if len(heads) and other[0] and alone:
-            yield rows(2, *(np.array([x]) for x in alone))
-        yield rows(2, a[heads[both]], start[heads[both]], start[heads[both]], c0[heads[both]], c1[heads[both]])
-        if len(heads):
-            k = heads[-1]
-            alone = None if both[-1] else (a[k], start[k], start[k], c0[k], c1[k])
-        before = int(a[-1]), int(b[-1]), int(first_doc[-1]), int(first_start[-1])
+        same = np.concatenate(([pair == (a[0], b[0])], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+        at = np.maximum.accumulate(np.where(~same, np.arange(len(a)), -1))
+        of = [np.where(at < 0, head[k] if head else 0, x[np.maximum(at, 0)]) for k, x in enumerate((doc, tie, start))]
+        again = same & ((doc != of[0]) | (tie != of[1]) | (start != of[2]))
+        yield rows(1, doc[again], tie[again], start[again], (start + more)[again])
+        if firsts:
+            yield rows(2, *(x[~same] for x in (doc, tie, start, start + more, before, after)))
+        pair, head = (a[-1], b[-1]), [x[-1] for x in of]
 
 
 def starts_of_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """doc, first and last: intervals of starts of strings that also start earlier.  ``docs`` is
-    (doc, text), with a number of its own for every row, in the order of documents."""
-    dealt = lambda df: df.repartition("a").sortWithinPartitions("a", "b", "doc", "place").mapInArrow(ranked, _RANKED)
-    one = cut(dealt(docs.mapInArrow(lambda x: sampled(x, length), _PICKS)), "repeats-1")
-    # Keys of stretches are made on the workers as stretch_keys makes them for the expansion.
+    """doc, tie, first and last: intervals of starts of strings that also start earlier.  ``docs`` is (doc, tie, text)."""
+    spark = docs.sparkSession
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, c0, c1 = (batch.column(k).to_numpy().view(U) for k in range(3))
-            keys = np.concatenate(stretch_keys(gram, [c0 & U(0xFFFFFFFF), c0 >> U(32), c1 & U(0xFFFFFFFF), c1 >> U(32)]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keys > 0].view(np.int64))], names=["key"])
+    def dealt(rows: DataFrame, firsts: bool) -> DataFrame:
+        return rows.repartition("a", "b").sortWithinPartitions("a", "b", "doc", "tie", "place").mapInArrow(lambda x: ranked(x, firsts), _RANKED)
 
-    keys = one.where("kind = 2").select("doc", "c0", "c1").mapInArrow(keyed, "key long")
-    shared = bit_set(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", 26)
-    held = docs.sparkSession.sparkContext.broadcast(shared)
-    two = dealt(docs.mapInArrow(lambda x: expanded(x, length, held.value), _PICKS))
-    return one.where("kind = 1").select("doc", "first", "last").unionByName(two.where("kind = 1").select("doc", "first", "last"))
+    def several(keys: DataFrame, key: str) -> DataFrame:
+        return keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
+    grams = spark.sparkContext.broadcast(bit_set(several(docs.mapInArrow(lambda x: counted(x, length), "a long"), "a"), "a", BITS))
+    one = cut(dealt(docs.mapInArrow(lambda x: blocked(x, length, grams.value), _PLACED), True), "repeats-32")
+    blocks = one.where("kind = 2")
+    sides = blocks.select(F.explode(F.array("before", "after")).alias("side")).where("side <> 0")
+    reach = spark.sparkContext.broadcast(bit_set(several(sides, "side"), "side", BITS))
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with ``doc``, a number that grows with id (null first) and the text's hash."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("__hash").asc()]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("__hash", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return cut(dealt.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "repeats-rows")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tie, first, before, after = (batch.column(k).to_numpy() for k in range(5))
+            some = ((before != 0) & in_bit_set(reach.value, before)) | ((after != 0) & in_bit_set(reach.value, after))
+            yield pa.RecordBatch.from_arrays([pa.array(_position(doc, tie, first)[some].view(np.int64))], names=["place"])
+
+    chosen = blocks.select("doc", "tie", "first", "before", "after").mapInArrow(placed, "place long")
+    places = spark.sparkContext.broadcast(bit_set(chosen, "place", BITS))
+    two = dealt(docs.mapInArrow(lambda x: windowed(x, length, reach.value, places.value), _PLACED), False)
+    return one.where("kind = 1").select("doc", "tie", "first", "last").unionByName(cut(two.select("doc", "tie", "first", "last"), "repeats-100"))
 
 
 def removed_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,28 +280,37 @@ def removed_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.n
 
 def deduplicate(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that stay."""
-    if not GRAM < length <= GRAM - 1 + 4 * STEP:
-        raise ValueError(f"length must be over {GRAM} and at most {GRAM - 1 + 4 * STEP}")
-    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    found = starts_of_repeats(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    joined = rows.join(found.withColumnRenamed("doc", "__doc"), F.col("doc") == F.col("__doc"), "left").drop("__doc")
+    if not REACH + GRAM - 1 <= length <= 2 * REACH:  # shorter windows may cover neither side of a pick, longer ones are not two reaches
+        raise ValueError(f"length must be from {REACH + GRAM - 1} to {2 * REACH}")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    found = starts_of_repeats(rows.select("doc", "tie", "text"), length).groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    joined = rows.join(found, ["doc", "tie"], "left").select("doc_id", "text", F.col("found.first").alias("first"), F.col("found.last").alias("last"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = buffers(batch.column(1))
-            out: list[tuple] = []
-            for i in range(len(batch)):
-                b = data[at[i] : at[i + 1]]
-                kept, removed, spans = b, 0, 0
-                if batch.column(2)[i].is_valid:
-                    a, z = removed_runs(batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), length)
-                    mask = np.ones(len(b), bool)
-                    for x, y in zip(a, z, strict=True):
-                        mask[x:y] = False
-                    kept, removed, spans = b[mask], int((z - a).sum()), len(a)
-                kept = kept.tobytes()
-                out.append((len(b), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.select("doc_id", "text", "first", "last").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        for whole in batches:
+            ends = np.cumsum(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False)) // (4 * RUN)
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(whole)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                yield _kept(whole.slice(x, y - x), length)
+
+    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _kept(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    data, at = buffers(batch.column(1))
+    out: list[tuple] = []
+    for i in range(len(batch)):
+        b = data[at[i] : at[i + 1]]
+        kept, removed, spans = b, 0, 0
+        if batch.column(2)[i].is_valid:
+            a, z = removed_runs(batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), length)
+            mask = np.ones(len(b), bool)
+            for x, y in zip(a, z, strict=True):
+                mask[x:y] = False
+            kept, removed, spans = b[mask], int((z - a).sum()), len(a)
+        kept = kept.tobytes()
+        out.append((len(b), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
