@@ -54,8 +54,6 @@ SLOTS = 1 << 18
 PART = 256
 BLOCK = 2048
 PERCENT = 80
-#: Of a node's answers, so many with the highest coarse bounds are bounded again over all groups.
-NEAREST = 8
 #: A node takes so many of its first shingles along, by which pairs that meet in several trees are told.
 FIRST = 32
 
@@ -264,18 +262,13 @@ def searched(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) ->
                 own = own[np.lexsort((n[own], comp[own]))]
             tree, some = Tree(Points([table["point"][int(i)].as_py() for i in own], n[own]), n[own]), False
             for q in range(1, len(own)):
-                at, bound = tree.coarse(q, percent)
-                other = comp[own[at]] != comp[own[q]]
-                at, bound = at[other], bound[other]
+                at, _ = tree.coarse(q, percent)
+                at, bound = tree.fine(q, at[comp[own[at]] != comp[own[q]]], percent)
                 if not len(at):
                     continue
                 some = True
-                if nearest and len(at) > NEAREST:
-                    best = np.argsort(-bound / (tree.n[q] + tree.n[at] - bound), kind="stable")[:NEAREST]
-                    at = at[best]
-                at, bound = tree.fine(q, at, percent)
                 share = bound / (tree.n[q] + tree.n[at] - bound)
-                if nearest and len(at):
+                if nearest:
                     at, share = at[[share.argmax()]], share[[share.argmax()]]
                 found.append((own[at], np.full(len(at), own[q]), share))
             if some:
@@ -398,22 +391,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     other) that links of a Jaccard of ``percent`` reach."""
     run = Join(docs, doc_id, text, width, percent)
     forest = run.forest()
+    wide = forest.where(F.col("size") > BLOCK).select("key")  # their blocks have met none but themselves
     links, undone = run.nearest(forest.withColumn("component", F.col("node")))
-    undone = undone.unionByName(forest.where(F.col("size") > BLOCK).select("key")).distinct()  # blocks have met none but themselves
-    rest = cut(forest.join(undone, "key").select("key", "node", "size"), "jaccard-rest")
-    drop(forest)
-    few = False
+    rest, few = forest, False
     while True:
         merged = components(links)
-        at = rest.join(merged, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        at = cut(at, "jaccard-placed")
+        at = rest.join(undone.unionByName(wide).distinct(), "key").join(merged, "node", "left")
+        at = cut(at.select("key", "node", "size", F.coalesce("component", "node").alias("component")), "jaccard-placed")
         mixed = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
         rest = cut(at.join(mixed, "key"), "jaccard-rest")
         if few:
             break
-        more, _ = run.nearest(rest)
+        more, undone = run.nearest(rest)
         links = links.unionByName(more)
-        few = more.count() * 10 < links.count()
+        few = more.count() * 5 < links.count()
         rest = rest.drop("component")
     left = run.trees(rest, nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = run.verified(cut(left, "jaccard-left"))
