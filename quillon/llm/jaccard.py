@@ -404,7 +404,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
             break
         more, undone = run.nearest(rest)
         links = links.unionByName(more)
-        few = more.count() * 5 < links.count()
+        few = more.count() * 5 <= links.count()
         rest = rest.drop("component")
     left = run.trees(rest, nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = run.verified(cut(left, "jaccard-left"))
