@@ -53,8 +53,13 @@ def postings(df: DataFrame, key: str, s: str) -> DataFrame:
     return df.select(key, F.inline(F.arrays_zip(F.col(s)["indices"].alias("idx"), F.col(s)["values"].alias("val"))))
 
 
-def top_k(df: DataFrame, query: DataFrame, key: str, s: str, k: int) -> DataFrame:
-    """The k best dot products with one query vector (idx, val).  Vectors without an entry in
+def scores(df: DataFrame, query: DataFrame, key: str, s: str) -> DataFrame:
+    """key and dot product with one query vector (idx, val).  Vectors without an entry in
     common count too, with score 0; the query's side is as short as a query is."""
     shared = postings(df, key, s).join(F.broadcast(query.select("idx", F.col("val").alias("q"))), "idx").groupBy(key).agg(F.sum(F.col("val") * F.col("q")).alias("score"))
-    return df.select(key).join(shared, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return df.select(key).join(shared, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def top_k(df: DataFrame, query: DataFrame, key: str, s: str, k: int) -> DataFrame:
+    """The k best of ``scores``, ties to the smaller key: a heap of k rows a partition."""
+    return scores(df, query, key, s).orderBy(F.desc("score"), key).limit(k)

@@ -48,11 +48,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda t: t != "")
 
 
+#: What a telling sentence contains.
+TELLING = ("is", "provides", "supports", "enables", "allows")
+
+
 def sentence_quality(sentence: Column) -> Column:
     """0.5, more for 8 to 30 words, a capital first, an ending mark and a telling word; 1 at most."""
     n = F.size(words(sentence))
     add = lambda c, v: F.when(c, v).otherwise(0.0)
-    telling = F.lower(sentence).rlike("provide|support|enable|implement|feature|perform|allow|include")
+    telling = F.lower(sentence).rlike("|".join(TELLING))
     total = 0.5 + add(n.between(8, 30), 0.2) + add(sentence.rlike(r"^\p{Lu}"), 0.1) + add(sentence.rlike(r"[.!?]$"), 0.1) + add(telling, 0.1)
     return F.least(F.lit(1.0), total)
 

@@ -23,15 +23,25 @@ def filter_collections(collections: DataFrame, query: str, include: list[str] =
     return rows.where(some)
 
 
+#: What a collection's name, and what its tags, score for.
+BOOSTED = ("docs", "source", "api", "sdk", "core")
+TAGS = ("documentation", "code", "api")
+
+
 def score_collections(collections: DataFrame, query: str, now: Column) -> DataFrame:
-    """0.4 name match, 0.3 term boost, 0.3 the mean of size, recency and tags."""
-    topics = topic_words(query)
-    hits = sum((F.when(F.lower("name").contains(t), 1.0).otherwise(0.0) for t in topics), F.lit(0.0)) / max(1, len(topics))
-    name = F.when(F.lower("name") == query.lower(), 1.0).otherwise(hits)
-    size = F.least(F.lit(1.0), F.log10(F.col("vector_count") + 1.0) / 6)
-    recent = F.exp(-F.greatest(F.datediff(now, F.col("updated_at")), F.lit(0)) / 90.0)
-    tags = F.when(F.size("tags") > 0, F.size(F.filter("tags", lambda t: F.lit(query.lower()).contains(F.lower(t)))) / F.size("tags")).otherwise(0.0)
-    return collections.withColumn("score", 0.4 * name + 0.3 * hits + 0.3 * (size + recent + tags) / 3)
+    """0.4 name match (half as much again where the name starts with a term), 0.3 boosted names,
+    0.3 the mean of size (of a million), recency and tags."""
+    terms = query.lower().split()
+    name = F.lower("name")
+    share = lambda marks: sum((F.when(name.contains(m), 1.0).otherwise(0.0) for m in marks), F.lit(0.0)) / max(1, len(marks))
+    starts = F.lit(False)
+    for t in terms:
+        starts |= name.startswith(t)
+    match = F.least(F.lit(1.0), share(terms) * F.when(starts, 1.5).otherwise(1.0))
+    size = F.least(F.lit(1.0), F.col("vector_count") / 1e6)
+    recent = F.exp(-F.datediff(now, F.col("updated_at")) / 90.0)
+    tags = F.coalesce(F.size(F.filter("tags", lambda t: t.isin(*TAGS))), F.lit(0)) / float(len(TAGS))
+    return collections.withColumn("score", 0.4 * match + 0.3 * share(BOOSTED) + 0.3 * (size + recent + tags) / 3)
 
 
 def broad(hits: DataFrame, k: int, least: float = 0.3, alike: float = 0.85, trade: float = 0.7, per: int = 10, text: str = "content", key: str = "doc_id") -> DataFrame:
@@ -66,19 +76,26 @@ def keyphrases(docs: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
 
 
 def compress(docs: DataFrame, key: str, text: str, per: int = 3, bullets: int = 20, least: int = 8, most: int = 30) -> DataFrame:
-    """Bullets: the sentences of 8 to 30 words densest in the document's keyphrases."""
-    phrases = keyphrases(docs, key, text).groupBy(key).agg(F.collect_list("term").alias("phrases"))
+    """Bullets: the sentences of 8 to 30 words densest in the document's ten keyphrases, with the document's score."""
+    phrases = keyphrases(docs, key, text, 10).groupBy(key).agg(F.collect_list("term").alias("phrases"))
     each = docs.select(key, "score", F.posexplode(marked_sentences(F.col(text))).alias("place", "sentence"))
     each = each.where(F.size(words(F.col("sentence"))).between(least, most)).join(phrases, key)
     low = F.lower("sentence")
     density = F.size(F.filter("phrases", lambda p: F.contains(low, p))) / F.size(words(F.col("sentence")))
     own = Window.partitionBy(key).orderBy(F.desc("density"), "place")
     top = each.withColumn("density", F.round(density, 6)).withColumn("n", F.row_number().over(own)).where(F.col("n") <= per)
-    return top.withColumn("bullet_score", F.round(F.col("score") * (1 + F.col("density")), 6)).orderBy(F.desc("bullet_score"), key, "place").limit(bullets).select(key, "place", "sentence", "density", "bullet_score", category(F.col("sentence")).alias("category"))
+    return top.withColumn("bullet_score", F.round("score", 6)).orderBy(F.desc("bullet_score"), key, F.desc("density"), "place").limit(bullets).select(key, "place", "sentence", "density", "bullet_score", category(F.col("sentence")).alias("category"))
 
 
 #: The first class with one of its words wins.
-CATEGORIES = (("definition", ("is a", "defined as", "refers to")), ("feature", ("feature", "support", "provide")), ("architecture", ("architecture", "component", "module")), ("performance", ("performance", "latency", "fast")), ("integration", ("integrat", "connect", "api")), ("use_case", ("use case", "example", "used for")))
+CATEGORIES = (
+    ("definition", ("is a", "defines", "represents")),
+    ("feature", ("feature", "support", "provides")),
+    ("architecture", ("architecture", "component", "module")),
+    ("performance", ("performance", "speed", "latency")),
+    ("integration", ("integration", "api", "sdk")),
+    ("use_case", ("use case", "example", "application")),
+)
 
 
 def category(sentence: Column) -> Column:

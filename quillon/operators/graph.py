@@ -77,18 +77,17 @@ def shortest_path_length(edges: DataFrame, start, end, most: int = 20) -> int |
     return None
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) over undirected edges: the smallest label spreads,
     and labels jump to their own label, until nothing changes."""
     both = edges.select("source", "target").union(edges.select("target", "source")).distinct()
     both = cut(both, "graph-edges")
     labels = cut(both.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("m")).select("node", F.least("node", "m").alias("component")), "graph-labels")
-    for _ in range(rounds):
+    while True:  # labels only ever fall, so this ends
         spread = both.join(labels, both["target"] == labels["node"]).groupBy("source").agg(F.min("component").alias("m"))
         nearer = labels.join(spread, labels["node"] == spread["source"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         jump = nearer.select(F.col("node").alias("at"), F.col("c").alias("up"))
         fresh = cut(nearer.join(jump, F.col("c") == F.col("at")).select("node", F.least("c", "up").alias("component"), "old"), "graph-labels")
         labels = fresh.select("node", "component")
         if not fresh.where("component <> old").take(1):
-            break
-    return labels
+            return labels

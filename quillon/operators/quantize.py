@@ -51,15 +51,22 @@ def packed(codes: Column, bits: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / per).cast("int")), lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(per - 1)), F.lit(0), lambda a, j: a + F.coalesce(F.get(codes, k * per + j), F.lit(0)) * F.pow(F.lit(2), j * bits).cast("int")))
 
 
-def middle_value(df: DataFrame, vector: str = "embedding") -> float:
-    """Element n / 2 of all components in order: found by counts of components, never by one sorted list."""
-    values = df.select(F.explode(doubles(F.col(vector))).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    total = values.agg(F.sum("n")).first()[0] or 0
-    bins = values.withColumn("bin", F.floor(F.col("x") * 4096)).groupBy("bin").agg(F.sum("n").alias("n"))
-    upto = bins.withColumn("upto", F.sum("n").over(Window.orderBy("bin"))).where(F.col("upto") > total // 2).orderBy("bin").first()
-    before = upto["upto"] - upto["n"]
-    inside = values.where(F.floor(F.col("x") * 4096) == upto["bin"]).withColumn("upto", F.sum("n").over(Window.orderBy("x")) + before)
-    return inside.where(F.col("upto") > total // 2).orderBy("x").first()["x"]
+def middle_value(df: DataFrame, vector: str = "embedding", bins: int = 4096) -> float:
+    """Element n / 2 of all finite components in order (0 if there are none): the range that holds it
+    is parted into ``bins`` by partial counts, and its bin again, until one value is left in it."""
+    values = df.select(F.explode(doubles(F.col(vector))).alias("x")).where(~F.isnan("x") & (F.abs("x") < float("inf")))
+    low, high, total = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    before = total // 2
+    while total and low < high:
+        step = high / bins - low / bins
+        own = F.least(F.floor((F.col("x") - low) / step), F.lit(bins - 1)) if step > 0 else (F.col("x") > low).cast("int")
+        held = values.where(F.col("x").between(low, high)).groupBy(own.alias("bin")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+        for part in held.orderBy("bin").collect():  # a row a bin
+            if before < part["n"]:
+                low, high = part["low"], part["high"]
+                break
+            before -= part["n"]
+    return low if total else 0.0
 
 
 def above(v: Column, threshold: float) -> Column:
@@ -80,7 +87,10 @@ def product_train(df: DataFrame, parts: int, codes: int, vector: str = "embeddin
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    width = -(-len(df.select(vector).first()[0]) // parts)
+    some = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    if some is None:
+        return df.sparkSession.createDataFrame([], "part int, code int, centroid array<double>")
+    width = -(-some[0] // parts)
     rows = []
     for p in range(parts):
         some = df.select(array_to_vector(F.slice(doubles(F.col(vector)), p * width + 1, width)).alias("features"))

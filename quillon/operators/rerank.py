@@ -90,19 +90,27 @@ def topic_words(query: str) -> list[str]:
     return [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if w not in STOPWORDS]
 
 
+#: What a query that contains a name is also asked as.
+SYNONYMS = {"cmmv": ("Contract Model View framework", "TypeScript framework"), "api": ("application programming interface", "REST API")}
+
+
 def expand_words(query: str) -> list[str]:
-    """The query, its words of more than three letters, its bigrams."""
-    words = query.lower().split()
-    out = [query, *(w for w in words if len(w) > 3), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
-    return list(dict.fromkeys(out))
+    """The query, its words of more than three bytes, its bigrams, and synonyms of names in it."""
+    words = query.split()
+    out = [query, *(w for w in words if len(w.encode()) > 3), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
+    return out + [s for name, more in SYNONYMS.items() if name in query.lower() for s in more]
 
 
-#: Ways to ask about a topic.
-TEMPLATES = ("{} definition", "{} features", "{} architecture", "{} API", "{} performance", "{} use cases", "{} examples", "{} guide", "{} best practices", "{} configuration", "{} integration", "{} benchmarks", "{} limitations", "{} overview")
+#: Ways to ask about a topic, and words that are none.
+TEMPLATES = (
+    "{} definition", "what is {}", "{} features", "{} capabilities", "{} main functionality", "{} architecture", "{} components",
+    "{} system design", "{} API", "{} usage", "{} performance", "{} benchmarks", "{} use cases", "{} examples",
+)
+NO_TOPIC = ("o", "que", "é", "the", "is", "a", "what", "how", "de", "da", "do")
 
 
 def expand_templates(query: str, most: int = 8) -> list[str]:
-    topic = next(iter(topic_words(query)), query)
+    topic = next((w for w in query.split() if w.lower() not in NO_TOPIC), query)
     return [query, *(t.format(topic) for t in TEMPLATES)][:most]
 
 

@@ -8,6 +8,7 @@ from quillon.functions import text as tx
 from quillon.operators import dml, embed, evaluate, files, graph, quantize, rerank, search
 from quillon.sources import readers
 from quillon.streaming import jobs
+from tests.conftest import SMALL
 
 
 def value(spark, column):
@@ -133,6 +134,42 @@ def test_graph(spark):
     assert left.count() == 4 and kept.count() == 1
 
 
+def test_components_of_all_orders(spark):
+    """g5_components over the whole table against a plain union-find."""
+    from quillon.plans import QUERIES
+
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        a, b = sorted((top(r[0]), top(r[1] + 1000000)))
+        up[b] = a
+    assert {r["node"]: r["component"] for r in QUERIES["g5_components"](spark, SMALL).collect()} == {x: top(x) for x in up}
+
+
+def test_long_chain(spark):
+    edges = spark.range(199).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.connected(edges).where("component <> 0").count() == 0
+
+
+@pytest.mark.parametrize("values", [[3.0], [2.0, 1.0], [5.0, -1.0, 5.0, 0.0, 5e-324, 1e300], [float(i % 7) / 3 for i in range(50)], [0.0] * 9 + [1.0, float("nan"), float("inf")]])
+def test_middle_value(spark, values):
+    df = spark.createDataFrame([(values,)], "embedding array<double>")
+    finite = sorted(v for v in values if abs(v) < float("inf"))
+    assert quantize.middle_value(df, bins=4) == finite[len(finite) // 2]
+    assert quantize.middle_value(df.limit(0)) == 0 and quantize.product_train(df.limit(0), 2, 2).count() == 0
+
+
+def test_expansions():
+    assert rerank.expand_words("CMMV api") == ["CMMV api", "CMMV", "CMMV api", "Contract Model View framework", "TypeScript framework", "application programming interface", "REST API"]
+    assert rerank.expand_templates("What is the Store", 15)[1:4] == ["Store definition", "what is Store", "Store features"]
+    assert len(rerank.expand_templates("x", 99)) == 15
+
+
 def test_merge_patch():
     assert dml.merged_json({"a": 1, "b": {"c": 1, "d": 2}}, {"a": None, "b": {"c": 3}}) == {"b": {"c": 3, "d": 2}}
 
