@@ -7,8 +7,11 @@ interpolated by Witten-Bell: a context that has seen many different characters t
 next shorter one more.  The threshold is calibrated on a fifth of the labelled URLs that the
 models do not see, as the value that parts them best (mean of both classes' hit rates).
 
-Memory: contexts are kept by a hash into ``slots`` slots a class and order, so the broadcast
-model has a size bound whatever the corpus; contexts that share a slot share counts.
+Counts are kept in full, as tables that grow with what the URLs hold: a string of up to ``order``
+bytes and the byte after it is a number, exactly.  Order by order the strings that occur in any
+URL are joined to their counts and to the probability at one order less; contexts have at most 256
+bytes after them, so no key is hot there.  A URL's bytes then meet the values of their
+strings, which are salted, as some strings stand in nearly every URL.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 scored like any other (null as the empty string, ratio 0, allowed); with URLs of one class
@@ -19,7 +22,6 @@ its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.store import cut
-from quillon.llm.common import held_out, shared
-from quillon.llm.words import U, buffers, mix
+from quillon.llm.common import held_out
+from quillon.llm.words import RUN, buffers
 
 ORDER = 4
-SLOTS = 1 << 16
+#: Parts that the bytes of one string are dealt into.
+SALTS = 16
 #: The rules, as host and path, and what they say.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -54,91 +57,73 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return out
 
 
-def _contexts(b: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``order`` bytes before each byte, of those that have so many in their text."""
-    where = np.arange(len(b)) - order
-    own = np.repeat(at[:-1], np.diff(at))
-    good = np.flatnonzero(where >= own)
-    h = np.full(len(good), order, U)
-    for j in range(order, 0, -1):
-        h = mix(h * U(257) + b[good - j].astype(U) + U(1))
-    return good, h
-
-
-@dataclass
-class Ratio:
-    """For each order: slots' log counts as arrays (classes, slots) for contexts and kinds, and for context-characters."""
-
-    seen: list[np.ndarray]
-    kinds: list[np.ndarray]
-    grams: list[np.ndarray]
-    slots: int
-
-    def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Mean over the bytes of log accepted - log rejected; 0 of an empty text."""
-        p = np.full((2, len(data)), 1 / 256)
-        for order in range(len(self.seen)):
-            good, h = _contexts(data, at, order)
-            c, g = (h % U(self.slots)).astype(np.int64), (mix(h ^ (data[good].astype(U) << U(48))) % U(self.slots)).astype(np.int64)
-            for k in (0, 1):
-                seen, kinds = self.seen[order][k][c], self.kinds[order][k][c]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mixed = (np.minimum(self.grams[order][k][g], seen) + kinds * p[k][good]) / (seen + kinds)
-                p[k][good] = np.where(seen + kinds > 0, mixed, p[k][good])
-        each = np.concatenate(([0.0], np.cumsum(np.log(p[1]) - np.log(p[0]))))
-        n = np.diff(at)
-        return (each[at[1:]] - each[at[:-1]]) / np.maximum(n, 1)
-
-
-def counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """accept (0 or 1), order, context, byte and number within the batch."""
+def grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """From (key, url): key, how many bytes stand before a byte (``order`` at most), these and the
+    byte as one number, and how often, summed within a run of bytes."""
     for batch in batches:
-        parts = []
-        for k in (0, 1):
-            some = batch.filter(pa.array(batch.column(1).to_numpy() == k))
-            data, at = buffers(some.column(0))
-            for o in range(order + 1):
-                good, h = _contexts(data, at, o)
-                pair, n = np.unique(np.stack([h, data[good].astype(U)]), axis=1, return_counts=True)
-                parts.append((np.full(len(n), k, np.int32), np.full(len(n), o, np.int32), pair[0].view(np.int64), pair[1].astype(np.int32), n))
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["accept", "o", "context", "byte", "n"])
-
-
-def fit(labelled: DataFrame, order: int = ORDER, slots: int = SLOTS) -> Ratio:
-    """Models of ``labelled`` (url, accept: 0 or 1)."""
-    rows = labelled.select("url", F.col("accept").cast("int")).mapInArrow(lambda x: counted(x, order), "accept int, o int, context long, byte int, n long")
-    grams = cut(rows.groupBy("accept", "o", "context", "byte").agg(F.sum("n").alias("n")), "url-grams")
-
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, byte = batch.column(2).to_numpy().view(U), batch.column(3).to_numpy().astype(U)
-            own = pa.array((mix(h ^ (byte << U(48))) % U(slots)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((h % U(slots)).astype(np.int32)), own, batch.column(4)], names=["accept", "o", "c", "g", "n"])
-
-    dealt = cut(grams.mapInArrow(slotted, "accept int, o int, c int, g int, n long"), "url-slots")
-    by_context = dealt.groupBy("accept", "o", "c").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    by_gram = dealt.groupBy("accept", "o", "g").agg(F.sum("n").alias("n")).toPandas()  # slots rows a class and order
-    seen, kinds, own = (np.zeros((order + 1, 2, slots), np.float64) for _ in range(3))
-    seen[by_context["o"], by_context["accept"], by_context["c"]] = by_context["n"]
-    kinds[by_context["o"], by_context["accept"], by_context["c"]] = by_context["kinds"]
-    own[by_gram["o"], by_gram["accept"], by_gram["g"]] = by_gram["n"]
-    return Ratio(list(seen), list(kinds), list(own), slots)
-
-
-def scored(urls: DataFrame, model: Ratio, url: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ``ratio`` of each URL."""
-    get = shared(urls.sparkSession, model)
-    rows = urls.select(F.col(url).alias("__url"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "ratio double"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = get()
-        for batch in batches:
-            data, at = buffers(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(data, at))], names=[*batch.schema.names[1:], "ratio"])
-
-    return rows.mapInArrow(judge, schema)
+        data, at = buffers(batch.column(1))
+        keys = batch.column(0).to_numpy()
+        for a in range(0, len(data), RUN):
+            p = np.arange(a, min(len(data), a + RUN))
+            row = np.searchsorted(at, p, "right") - 1
+            have = np.minimum(p - at[row], order)
+            gram = np.zeros(len(p), np.int64)
+            for back in range(order, -1, -1):
+                gram = gram << 8 | np.where(have >= back, data[np.maximum(p - back, 0)], 0)
+            key = keys[row]
+            by = np.lexsort((gram, have, key))
+            key, have, gram = key[by], have[by], gram[by]
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (have[1:] != have[:-1]) | (gram[1:] != gram[:-1]))))
+            n = np.diff(np.concatenate((new, [len(key)])))
+            columns = key[new], have[new].astype(np.int32), gram[new], n.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "have", "gram", "n"])
+
+
+def grams_of(urls: DataFrame, key: str, order: int) -> DataFrame:
+    return urls.select(F.col(key).cast("long"), "url").mapInArrow(lambda x: grams(x, order), "key long, have int, gram long, n long")
+
+
+def fit(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """How often each string of ``labelled`` (url, accept: 0 or 1) occurs: have, gram, n0 (rejected), n1 (accepted)."""
+    if not 0 <= order <= 6:
+        raise ValueError("order must be from 0 to 6: a string and its next byte are kept in 56 bits")
+    n = [F.sum(F.when(F.col("key") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
+    return cut(grams_of(labelled, "accept", order).groupBy("have", "gram").agg(*n), "url-grams")
+
+
+def values(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+    """have, gram and value (log accepted - log rejected) of the strings ``wanted`` (have, gram)."""
+    p0 = p1 = F.lit(1 / 256)
+    level, out = None, None
+    for o in range(order + 1):
+        last = F.col("gram").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1)).alias("last")
+        context = F.shiftright("last", 8).alias("context")
+        seen = counts.where(F.col("have") >= o).groupBy(last).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        after = seen.groupBy(context).agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count_if(F.col("n0") > 0).alias("kinds0"), F.count_if(F.col("n1") > 0).alias("kinds1"))
+        here = wanted.where(F.col("have") >= o).select(last).distinct().select("last", context)
+        here = here.join(seen, "last", "left").join(after, "context", "left")
+        if level is not None:
+            shorter = level.select(F.col("last").alias("shorter"), "p0", "p1")
+            here = here.withColumn("shorter", F.col("last").bitwiseAND(F.lit((1 << 8 * o) - 1))).join(shorter, "shorter")
+            p0, p1 = F.col("p0"), F.col("p1")
+        mixed = []
+        for k, p in enumerate((p0, p1)):
+            own = (F.coalesce(f"n{k}", F.lit(0)) + F.col(f"kinds{k}") * p) / (F.col(f"all{k}") + F.col(f"kinds{k}"))
+            mixed.append(F.when(F.col(f"all{k}") > 0, own).otherwise(p).alias(f"p{k}"))
+        level = cut(here.select("last", *mixed), f"url-order-{o}")
+        done = level.select(F.lit(o).alias("have"), F.col("last").alias("gram"), (F.log("p1") - F.log("p0")).alias("value"))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def scored(urls: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``urls`` (row: a number of its own, url) with ``ratio``: the mean value over a URL's bytes; 0 of an empty one."""
+    cells = grams_of(urls, "row", order)
+    wanted = cut(cells.select("have", "gram").distinct(), "url-wanted")
+    salted = values(counts, wanted, order).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cells = cells.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    means = cells.join(salted, ["have", "gram", "salt"]).groupBy(F.col("key").alias("row")).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    return urls.join(means, "row", "left").withColumn("ratio", F.round(F.coalesce("mean", F.lit(0.0)), 9)).drop("mean")
 
 
 def threshold(judged: DataFrame, steps: int = 1000) -> float:
@@ -156,7 +141,7 @@ def threshold(judged: DataFrame, steps: int = 1000) -> float:
     return float((low + high) / 2 / steps)
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER, slots: int = SLOTS) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER) -> DataFrame:
     """page_id, host, path, rule, verdict and ratio; URLs that a rule decides are what is learnt from."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
@@ -164,12 +149,13 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     for rule, verdict in rules:
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("said", said)
-    rows = cut(rows, "urls")
-    labelled = rows.where("said is not null").withColumn("accept", (F.col("said") == "allow").cast("int"))
-    model = fit(labelled.where(~held_out("page_id")), order, slots)
-    judged = scored(rows.withColumn("accept", F.when(F.col("said").isNotNull(), (F.col("said") == "allow").cast("int"))), model, "url", ["page_id", "host", "path", "rule", "said", "accept"])
-    judged = cut(judged, "urls-judged")
-    known = judged.where(F.col("accept").isNotNull() & held_out("page_id")).select("ratio", "accept")
-    least = threshold(known)
-    verdict = F.coalesce("said", F.when((F.col("ratio") >= least) | (F.length("host") == 0) & (F.col("ratio") == 0), "allow").otherwise("block"))
+    rows = rows.withColumn("accept", F.when(F.col("said").isNotNull(), (F.col("said") == "allow").cast("int")))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+    labelled = rows.where("accept is not null")
+    counts = fit(labelled.where(~held_out("page_id")), order)
+    ratios = scored(rows.select("row", "url"), counts, order).select("row", "ratio")
+    judged = cut(rows.drop("url").join(ratios, "row"), "urls-judged")
+    least = threshold(judged.where(F.col("accept").isNotNull() & held_out("page_id")).select("ratio", "accept"))
+    likely = (F.col("ratio") >= least) | (F.length("host") == 0) & (F.col("ratio") == 0)
+    verdict = F.coalesce("said", F.when(likely, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")

@@ -1,6 +1,7 @@
 """The operators against brute force on the smallest tables, and over odd rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -435,15 +436,48 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_model_is_a_distribution():
-    """Every context's probabilities add up to one, whatever the orders mix."""
-    import pyarrow as pa
-
-    text = "abcab"
-    model = urls.Ratio(*(list(np.zeros((3, 2, 64))) for _ in range(3)), 64)
-    data = np.frombuffer(text.encode(), np.uint8)
-    assert model.scores(data, np.array([0, 5]))[0] == 0
-    assert pa.array(model.scores(data, np.array([0, 2, 5]))).to_pylist() == [0, 0]
+def witten_bell(texts, order=urls.ORDER):
+    """The probability of a byte after a context, from plain counts of ``texts``."""
+    seen = Counter((b[i - o : i], b[i]) for b in texts for i in range(len(b)) for o in range(order + 1) if i >= o)
+    total, kinds = Counter(), Counter()
+    for (context, _), n in seen.items():
+        total[context] += n
+        kinds[context] += 1
+
+    def p(context, byte):
+        less = p(context[1:], byte) if context else 1 / 256
+        n = total[context] + kinds[context]
+        return (seen[context, byte] + kinds[context] * less) / n if n else less
+
+    return p
+
+
+def test_url_ratio_by_hand(spark):
+    """Ratios equal a plain count of every context; each model is a distribution."""
+    good = [f"http://a{i}.org/fr/page{i % 3}" for i in range(12)] + ["http://x.org/fr/\u00e9"] * 2
+    bad = [f"http://b{i}.net/buy?{i * i}" for i in range(12)]
+    other = ["", "h", "http://a1.com/fr/page2", "\x00\x00\x00", "ftp://\u20ac" + "z" * 400_000, *good[:2], *bad[:2]]
+    labelled = spark.createDataFrame([(u, 1) for u in good] + [(u, 0) for u in bad], "url string, accept int").repartition(3)
+    rows = spark.createDataFrame(list(enumerate(other)), "row long, url string").repartition(3)
+    got = {r["row"]: r["ratio"] for r in urls.scored(rows, urls.fit(labelled)).collect()}
+    yes, no = (witten_bell([u.encode() for u in us]) for us in (good, bad))
+    for k, u in enumerate(other):
+        b = u.encode()
+        if len(b) > 1000:  # what repeats has one value
+            head = sum(math.log(yes(b[max(0, i - 4) : i], b[i]) / no(b[max(0, i - 4) : i], b[i])) for i in range(20))
+            tail = math.log(yes(b"zzzz", ord("z")) / no(b"zzzz", ord("z"))) * (len(b) - 20)
+            assert got[k] == pytest.approx((head + tail) / len(b), abs=1e-8)
+        else:
+            each = [math.log(yes(b[max(0, i - 4) : i], b[i]) / no(b[max(0, i - 4) : i], b[i])) for i in range(len(b))]
+            assert got[k] == pytest.approx(sum(each) / max(1, len(b)), abs=1e-8)
+    assert sum(yes(b"page", c) for c in range(256)) == pytest.approx(1) and sum(no(b"", c) for c in range(256)) == pytest.approx(1)
+
+
+def test_urls_repeated_and_clashing(spark):
+    rows = [(1, "http://a.org/fr/x", 0, "r", 1.0)] * 2 + [(None, "http://b.net/y", 1, "r", 1.0), (None, None, 1, "r", 1.0), (3, "http://c.com/z", 1, "r", 1.0)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, row int, rule string, ratio double"))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "ratio"]
+    assert Counter((r["page_id"], r["rule"]) for r in got.collect()) == Counter([(1, "org/fr/"), (1, "org/fr/"), (None, "net/"), (None, None), (3, None)])
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
