@@ -2,8 +2,8 @@
 
 A record is a row: warc_type, record_id, target_uri, date, refers_to, content_type,
 block_digest, payload_digest, headers (an ordered array of name and value) and block (binary).
-``read`` and ``write`` go between rows and .warc or .warc.gz files, one gzip member a record,
-without loss; ``from_pages`` makes response records of a table of pages; ``derive`` makes of
+``read`` and ``write`` go between rows and .warc or .warc.gz files, one gzip member a record
+(several where it is over 8 MB), without loss where headers are UTF-8; ``from_pages`` makes response records of a table of pages; ``derive`` makes of
 each response
 
 - a metadata record (application/warc-fields): source status, type, length and digest, the
@@ -13,9 +13,13 @@ each response
 both with WARC-Refers-To the response's id, its target and date.  Ids are made from the
 digest of what they name, so reruns agree; digests are sha256 in lower-case hex.
 
-Defined cases: a null URL or body is empty; responses without text give an empty conversion;
-records of other types derive nothing; repeated pages give repeated records; headers that
-derivation does not know stay in the response.
+A body is read by the charset that its header names: Latin-1 (and its Windows relative, which
+agrees with it on letters) as such, anything else as UTF-8 with U+FFFD for what is not.
+
+Defined cases: a null URL, block or body is empty; responses without text give an empty
+conversion, and so do those whose type is an image, sound, film, font or archive; records of
+other types derive nothing; repeated pages give repeated records; headers that derivation does
+not know stay in the response.  Numeric entities and compressed or chunked bodies stay as they are.
 """
 
 from __future__ import annotations
@@ -83,15 +87,27 @@ def from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return _record(rows, ["page_id"], warc_type=F.lit("response"), record_id=_id("response", F.concat_ws(" ", "page_id", "u", "d")), target_uri=F.col("u"), date=F.lit(date), content_type=F.lit("application/http; msgtype=response"), block_digest=F.col("d"), payload_digest=F.col("p"), block=F.col("b"))
 
 
+def _bodies(responses: DataFrame) -> DataFrame:
+    """``__head`` and ``__html`` of each response, parted as bytes at the first empty line; without one, all is body."""
+    rows = responses.withColumn("__block", F.coalesce("block", F.lit(b"")))
+    rows = rows.withColumn("__before", F.substring_index(F.col("__block").cast("string"), "\r\n\r\n", 1))
+    size = F.octet_length("__before")
+    whole = size == F.octet_length("__block")
+    rows = rows.withColumn("__head", F.when(whole, F.lit("")).otherwise(F.make_valid_utf8("__before")))
+    rows = rows.withColumn("__body", F.when(whole, F.col("__block")).otherwise(F.substring("__block", size + 5, F.octet_length("__block"))))
+    kind = F.lower(F.regexp_extract("__head", r"(?im)^content-type:([^\r\n]*)", 1))
+    latin = kind.rlike(r"charset=\s*[\"']?(iso-?8859-1|latin-?1|windows-1252|cp1252)\b")
+    other = kind.rlike(r"^\s*((image|audio|video|font)/|application/(octet-stream|pdf|zip|x-zip|gzip|x-gzip)\b)")
+    return rows.withColumn("__html", F.when(other, F.lit("")).when(latin, F.decode("__body", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("__body").cast("string"))))
+
+
 def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metadata and conversion records of the responses; ``keep`` are columns to carry along."""
-    text = F.decode("block", "utf-8")
-    at = F.instr(text, "\r\n\r\n")
-    rows = records.where("warc_type = 'response'").withColumn("__all", text).withColumn("__head", F.when(at > 0, F.substring(text, 1, at)).otherwise(F.lit(""))).withColumn("__html", F.when(at > 0, F.substring(text, at + 4, F.length(text))).otherwise(text))
+    rows = _bodies(records.where("warc_type = 'response'"))
     fields = F.concat(
         F.lit("status: "), F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]+)", 1),
         F.lit("\r\nsourceContentType: "), F.regexp_extract("__head", r"(?im)^content-type:[ ]*([^\r\n]*)", 1),
-        F.lit("\r\nsourceLength: "), F.octet_length("block").cast("string"),
+        F.lit("\r\nsourceLength: "), F.octet_length("__block").cast("string"),
         F.lit("\r\nsourceDigest: "), F.coalesce("payload_digest", F.lit("")),
         F.lit("\r\ntitle: "), F.trim(F.regexp_replace(F.regexp_extract("__html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")),
         F.lit("\r\noutlinks: "), F.size(F.regexp_extract_all("__html", F.lit(r"(?i)<a\s[^>]*href"), F.lit(0))).cast("string"), F.lit("\r\n"),

@@ -360,6 +360,29 @@ def test_warc_links(spark):
     assert warc.derive(warc.from_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_bytes(spark):
+    head = lambda kind: b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n\r\n"
+    blocks = {
+        "latin": head(b"text/html; charset=ISO-8859-1") + "<p>café</p>".encode("latin-1"),
+        "utf": head(b"text/html; charset=utf-8") + "<p>café</p>".encode(),
+        "broken": head(b"text/html") + b"<p>caf\xe9 now</p>",
+        "image": head(b"image/png") + bytes(range(256)),
+        "name": b"HTTP/1.1 200 OK\r\nX-Name: \xe9\xe9\r\n\r\n<p>x</p>",
+        "bare": b"<p>no head</p>",
+        "empty": b"",
+        "none": None,
+        "long": head(b"text/html") + b"<p>word </p>" * 200_000,
+    }
+    schema = "page_id string, extra int, " + warc.RECORD
+    row = lambda k, b: (k, 1, "response", f"<{k}>", "u", warc.DATE, None, None, None, None, [], b)
+    records = spark.createDataFrame([row(k, b) for k, b in blocks.items()], schema)
+    made = warc.derive(records, keep=("page_id",)).collect()
+    text = {r["page_id"]: bytes(r["block"]).decode() for r in made if r["warc_type"] == "conversion"}
+    assert text == {"latin": "café", "utf": "café", "broken": "caf\ufffd now", "image": "", "name": "x", "bare": "no head", "empty": "", "none": "", "long": "\n".join(["word"] * 200_000)}
+    meta = {r["page_id"]: bytes(r["block"]).decode() for r in made if r["warc_type"] == "metadata"}
+    assert "sourceContentType: image/png\r\nsourceLength: 300\r\n" in meta["image"] and "sourceLength: 0\r\n" in meta["none"]
+
+
 # op9
 
 
