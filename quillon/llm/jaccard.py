@@ -312,17 +312,27 @@ class Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
         self.spark = docs.sparkSession
         self.width, self.percent = width, percent
+        self.made: list[DataFrame] = []
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
         sketch = "doc long, n long, node long, again long, point binary, part int, counts binary"
         sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
         self.rows = cut(sketches.where("part is null").select("doc", "n", "node"), "jaccard-rows")
         nodes = sketches.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"))
-        self.nodes = cut(nodes, "jaccard-nodes")
+        self.nodes = self.held(nodes, "jaccard-nodes")
         self.slots = slot_counts(sketches)
         drop(sketches)
         if self.nodes.where("again <> other or n <> m").take(1):
             raise ArithmeticError("two different sets have the same 64-bit hash")
 
+    def held(self, df: DataFrame, name: str) -> DataFrame:
+        """A cut table that ``release`` deletes."""
+        self.made.append(cut(df, name))
+        return self.made[-1]
+
+    def release(self) -> None:
+        drop(*self.made)
+        self.made = []
+
     def forest(self) -> DataFrame:
         """key, node and size: the shingles that part the nodes into trees, and the number of their nodes."""
         slots = self.spark.sparkContext.broadcast(self.slots)
@@ -339,7 +349,7 @@ class Join:
         whole = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
         sizes = both.groupBy("key").agg(F.count("*").alias("size"), *whole).where("size > 1")
         stand = sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-        out = cut(both.join(stand, "key").select("key", "node", "size"), "jaccard-forest")
+        out = self.held(both.join(stand, "key").select("key", "node", "size"), "jaccard-forest")
         drop(both)
         return out
 
@@ -358,7 +368,7 @@ class Join:
 
     def nearest(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of each node's nearest, and the keys of the trees that are not done."""
-        near = cut(self.trees(rows, nearest=True), "jaccard-nearest")
+        near = self.held(self.trees(rows, nearest=True), "jaccard-nearest")
         best = near.where("b is not null").groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select("best.a", "b")
         return self.verified(best), near.where("b is null").select("key")
 
@@ -383,7 +393,7 @@ class Join:
         held = held.dropDuplicates(["node"])  # rows may repeat an id and a text
         paired = pairs.select("a", "b").join(held.toDF("a", "s"), "a").join(held.toDF("b", "t"), "b")
         common = F.size(F.array_intersect("s", "t")).cast("long")
-        return cut(paired.withColumn("k", common).where(F.col("k") * 100 >= percent * (F.size("s") + F.size("t") - F.col("k"))).select("a", "b"), "jaccard-links")
+        return self.held(paired.withColumn("k", common).where(F.col("k") * 100 >= percent * (F.size("s") + F.size("t") - F.col("k"))).select("a", "b"), "jaccard-links")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -399,7 +409,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         at = rest.join(undone.unionByName(wide).distinct(), "key").join(merged, "node", "left")
         at = cut(at.select("key", "node", "size", F.coalesce("component", "node").alias("component")), "jaccard-placed")
         mixed = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-        rest = cut(at.join(mixed, "key"), "jaccard-rest")
+        rest = run.held(at.join(mixed, "key"), "jaccard-rest")
+        drop(at, merged)
         if few:
             break
         more, undone = run.nearest(rest)
@@ -407,10 +418,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         few = more.count() * 5 <= links.count()
         rest = rest.drop("component")
     left = run.trees(rest, nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = run.verified(cut(left, "jaccard-left"))
+    more = run.verified(run.held(left, "jaccard-left"))
     merged = components(links.unionByName(more))
     of_node = run.nodes.select("node", "doc").join(merged, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     of_node = cut(of_node, "jaccard-components")
+    drop(merged)
+    run.release()
     least = of_node.groupBy("component").agg(F.min("doc").alias("least"))
     of_node = of_node.join(least, "component").select("node", "least")
     out = run.rows.select("doc", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
