@@ -33,9 +33,10 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All n-character windows of the lower-cased text; a shorter text is its own."""
+    """All n-character windows of the lower-cased text, in one pass; a shorter text is its own."""
     low = F.lower(text)
-    return F.when(F.length(low) <= n, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n))))
+    windows = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.when(F.length(low) <= n, F.array(low)).otherwise(windows)
 
 
 def term_frequency(text: Column, terms: Column) -> Column:

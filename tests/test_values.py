@@ -205,3 +205,13 @@ def test_streams(spark, tmp_path):
     events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001")
     got = jobs.drain(jobs.usage(events), spark, "usage_test", "complete")
     assert got.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_char_ngrams(spark):
+    from quillon.functions.text import char_ngrams
+
+    texts = ["", "ab", "ABCD", "a\nbc d", "x😀yz😀", "ab cd " * 5_000, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", char_ngrams(F.col("t"), 3).alias("g")).collect()
+    for r in rows:
+        low = (texts[r["i"]] or "").lower()
+        assert r["g"] == (None if texts[r["i"]] is None else [low] if len(low) <= 3 else [low[k : k + 3] for k in range(len(low) - 2)])
