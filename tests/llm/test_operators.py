@@ -158,6 +158,22 @@ def test_neighbours(spark):
     assert found / (20 * (ids % 20 == 0).sum()) >= 0.9
 
 
+def test_neighbours_of_queries_unlike_the_rest(spark):
+    """Queries that point away from all other vectors: lists must be chosen by what queries need."""
+    random = np.random.default_rng(1)
+    n, centres = 4000, random.normal(size=(100, 64)) * 3
+    ids = np.arange(n)
+    x = np.where((ids % 20 == 0)[:, None], -centres[random.integers(0, 100, n)], centres[random.integers(0, 100, n)] + random.normal(size=(n, 64)))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    own = defaultdict(set)
+    for r in neighbours.search(df, lambda i: i % 20 == 0).collect():
+        own[r["query_id"]].add(r["vec_id"])
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+    found = sum(len(own[20 * i] & set(np.argsort(-s)[:20].tolist())) for i, s in enumerate(score))
+    assert found / (20 * len(score)) >= 0.9
+
+
 def test_neighbours_odd(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0]) for i in range(30)] + [(40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [None, 1.0]), (120, [1.0, 2.0, 3.0]), (140, [3.0, -0.0]), (140, [3.0, -0.0]), (None, [1.0, 1.0])]
