@@ -12,6 +12,18 @@ def curves(results: DataFrame, truth: DataFrame, by: str = "query_id", key: str
     first it is 0)."""
     size = truth.groupBy(by).agg(F.countDistinct(key).alias("relevant"))
     marked = results.join(truth.select(by, key).distinct().withColumn("hit", F.lit(1)), [by, key], "left").withColumn("hit", F.coalesce("hit", F.lit(0))).join(size, by, "left")
+    return marked_curves(marked, by)
+
+
+def label_curves(results: DataFrame, labelled: DataFrame, by: str = "query_id", key: str = "doc_id", label: str = "label", own: str = "query_label") -> DataFrame:
+    """``curves`` where all other rows of a query's own label are relevant: they are counted by label, not listed by query."""
+    size = labelled.groupBy(F.col(label).alias(own)).agg((F.countDistinct(key) - 1).alias("relevant"))
+    marked = results.withColumn("hit", F.coalesce((F.col(label) == F.col(own)).cast("int"), F.lit(0))).join(size, own, "left")
+    return marked_curves(marked.withColumn("relevant", F.nullif("relevant", F.lit(0))), by)
+
+
+def marked_curves(marked: DataFrame, by: str = "query_id") -> DataFrame:
+    """The curves of results marked with ``hit`` and the number ``relevant``."""
     upto = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = marked.withColumn("hits", F.sum("hit").over(upto)).withColumn("precision_at_k", F.col("hits") / F.col("rank"))
     own = F.coalesce(F.last(F.when(F.col("hit") == 1, F.col("precision_at_k")), ignorenulls=True).over(upto), F.lit(0.0))

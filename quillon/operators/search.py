@@ -2,22 +2,25 @@
 prefetch, matrices, paging.
 
 A collection is a DataFrame with a key and a vector column; results are exact.  Searching is
-always "score, then top k": one query keeps a k-row heap a partition (TakeOrderedAndProject),
-many queries rank within each query, which Spark prunes before the shuffle (WindowGroupLimit).
-Queries are the small side and are only broadcast while they are below ``MOST_QUERIES`` rows,
-which is checked; beyond, they are searched for in groups of that size, one after another.
+always "score, then top k": one query keeps a k-row heap a partition (TakeOrderedAndProject).
+Many queries are all pairs by nature: rows and queries are dealt into blocks, every block of rows
+meets every block of queries as one matrix product, and k rows a query leave a block.  A task holds
+two blocks of ``BLOCK`` rows at most, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import matrix_score, search_score
 
-MOST_QUERIES = 10_000
+BLOCK, LEAST_BLOCK = 32_768, 2_048
 
 
 def ranked(df: DataFrame, k: int, score: str = "score", key: str = "vec_id", by: tuple[str, ...] = (), as_rank: str = "rank") -> DataFrame:
@@ -38,17 +41,121 @@ def knn(collection: DataFrame, query: list[float], k: int, metric: str = "cosine
     return ranked(rows.withColumn("score", F.round(search_score(metric, F.col(vector), literal(query)), 6)), k, key=key)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six places as Spark does it: the shortest decimal form, halves away from zero."""
+    y = np.abs(x) * 1e6
+    out = np.floor(y + 0.5) / 1e6
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(abs(float(x[i])))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return np.copysign(out, x)
+
+
+def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products from the first component on, as the kernels add them."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[..., d]
+    return out
+
+
+def _squares_in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _in_order(a - b, a - b)
+
+
+def _scored(metric: str, exact: bool, rows: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norms: np.ndarray) -> np.ndarray:
+    """Scores of all rows with all of ``q`` by a matrix product, or, exactly, of rows with one query."""
+    if metric == "euclidean":
+        if exact:
+            return 1 / (1 + np.sqrt(_squares_in_order(rows, q)))
+        return 1 / (1 + np.sqrt(np.maximum(0.0, (q_norms**2)[:, None] + (norms**2)[None, :] - 2 * (q @ rows.T))))
+    dot = _in_order(rows, q) if exact else q @ rows.T
+    if metric == "dot":
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-dot))
+    n = norms * q_norms if exact else q_norms[:, None] * norms[None, :]
+    return np.where(n == 0, 0.0, dot / np.where(n == 0, 1.0, n))
+
+
+def _ordinary(v: str, size: int | None) -> Column:
+    """Of that length, every component a number of a size whose square is one as well."""
+    return F.coalesce((F.size(v) == F.lit(size)) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < 1e100)), F.lit(False))
+
+
 def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query: str = "query", other: bool = True, score: Column | None = None) -> DataFrame:
-    """The k nearest to each row of ``queries`` (query_id, query); ``other`` leaves out the row with the query's own id."""
-    n = queries.count()
-    groups = -(-n // MOST_QUERIES) or 1
-    parts = []
-    for g in range(groups):
-        own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(groups)) == g)
-        pairs = collection.join(F.broadcast(own), F.col(query_id) != F.col(key) if other else F.lit(True))
+    """The k nearest to each row of ``queries`` (query_id, query); ``other`` leaves out the row with the query's own id.
+
+    Vectors that hold nulls or no finite numbers, or are of another length than the most, are scored
+    pair by pair, as all are by an expression ``score`` of one's own."""
+    differ = F.col(query_id) != F.col(key) if other else F.lit(True)
+
+    def pairwise(rows: DataFrame, asked: DataFrame) -> DataFrame:
         value = score if score is not None else search_score(metric, F.col(vector), F.col(query))
-        parts.append(ranked(pairs.withColumn("score", F.round(value, 6)).drop(vector, query), k, key=key, by=(query_id,)))
-    return reduce(DataFrame.unionByName, parts)
+        return rows.join(asked, differ).withColumn("score", F.round(value, 6)).drop(vector, query)
+
+    if score is not None:
+        return ranked(pairwise(collection, queries), k, key=key, by=(query_id,))
+    common = collection.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    size = common["d"] if common else None
+    good, asked_good = _ordinary(vector, size) & F.col(key).isNotNull(), _ordinary(query, size) & F.col(query_id).isNotNull()
+    n, odd = collection.agg(F.count_if(good), F.count_if(~good)).first()
+    n_asked, odd_asked = queries.agg(F.count_if(asked_good), F.count_if(~asked_good)).first()
+    parts = [_by_blocks(collection.where(good), queries.where(asked_good), n, n_asked, k, metric, key, vector, query_id, query, other)]
+    if odd:
+        parts.append(pairwise(collection.where(~good), queries))
+    if odd_asked:
+        parts.append(pairwise(collection.where(good), queries.where(~asked_good)))
+    return ranked(reduce(DataFrame.union, parts), k, key=key, by=(query_id,))
+
+
+def _by_blocks(rows: DataFrame, asked: DataFrame, n: int, n_asked: int, k: int, metric: str, key: str, vector: str, query_id: str, query: str, other: bool) -> DataFrame:
+    """Of each block of rows the k best for each query, ties to the smaller key: the columns of both sides without vectors, and score."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = lambda rows: max(-(-rows // BLOCK), min(cores, -(-rows // LEAST_BLOCK)), 1)
+    nb, qb = blocks(n), -(-n_asked // BLOCK) or 1
+    c_names, q_names = [c for c in rows.columns if c != vector], [c for c in asked.columns if c != query]
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(c_names)]
+    theirs = [F.col(c).alias(f"q{i}") for i, c in enumerate(q_names)]
+    at, to = f"c{c_names.index(key)}", f"q{q_names.index(query_id)}"
+    deal = lambda c, m: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(m)).cast("int")
+    left = rows.select(*own, F.col(vector).alias("v"), deal(key, nb).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("j"))
+    right = asked.select(*theirs, F.col(query).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("i"), deal(query_id, qb).alias("j"))
+    schema = ", ".join(f"{name} {kind}" for df in (left.drop("v", "i", "j"), right.drop("w", "i", "j")) for name, kind in df.dtypes) + ", score double"
+
+    names = [f"c{i}" for i in range(len(own))] + [f"q{i}" for i in range(len(theirs))] + ["score"]
+
+    def meet(row: pa.Table, ask: pa.Table) -> pa.Table:
+        took, of, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if row.num_rows and ask.num_rows:
+            row = row.sort_by(at)  # so an earlier row has the smaller key
+            x, q = _doubles(row["v"]), _doubles(ask["w"])
+            norms, q_norms = np.sqrt(_in_order(x, x)), np.sqrt(_in_order(q, q))
+            keys, ids = row[at].to_numpy(), ask[to].to_numpy()
+            low, high = np.searchsorted(keys, ids, "left"), np.searchsorted(keys, ids, "right")
+            # A rounding to six places, and what a matrix product may be off by.
+            near = 2e-6 + {"cosine": 0.0, "dot": 1e-13 * q_norms * norms.max(), "euclidean": 1e-6 * (q_norms + norms.max())}[metric] * np.ones(len(q))
+            step = max(1, (1 << 22) // len(x))
+            for a in range(0, len(q), step):
+                s = _scored(metric, False, x, norms, q[a : a + step], q_norms[a : a + step])
+                if other:
+                    for r in range(len(s)):
+                        s[r, low[a + r] : high[a + r]] = -np.inf
+                # Scores within a rounding of the k-th best are told apart exactly.
+                least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(s), -np.inf)
+                for r in range(len(s)):
+                    some = np.flatnonzero((s[r] >= least[r] - near[a + r]) & (s[r] > -np.inf))
+                    value = rounded(_scored(metric, True, x[some], norms[some], q[a + r], q_norms[a + r]))
+                    best = np.argsort(-value, kind="stable")[:k]
+                    took.append(some[best])
+                    of.append(np.full(len(best), a + r))
+                    scores.append(value[best])
+        return pa.table(row.drop_columns(["v", "i", "j"]).take(pa.array(np.concatenate(took))).columns + ask.drop_columns(["w", "i", "j"]).take(pa.array(np.concatenate(of))).columns + [pa.array(np.concatenate(scores))], names=names)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+    return found.toDF(*c_names, *q_names, "score")
 
 
 def over(results: DataFrame, least: float, score: str = "score") -> DataFrame:

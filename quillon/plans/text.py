@@ -334,10 +334,8 @@ c as (select *, sum(hit) over (partition by query_id order by rank) hits, sum(hi
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    found = search.batch_knn(emb, queries_of(emb, "vec_id % 50 = 0"), 10)
-    q = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    truth = emb.join(F.broadcast(q), (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", "vec_id")
-    return evaluate.curves(found, truth, key="vec_id")
+    asked = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+    return evaluate.label_curves(search.batch_knn(emb, asked, 10), emb, key="vec_id")
 
 
 @query(f"with {_CURVE} select query_id, rank, hit, hits::bigint hits, round(p, 6) precision_at_k, round(coalesce(last_value(case when hit = 1 then p end ignore nulls) over (partition by query_id order by rank), 0), 6) curve, round(hits / relevant::double, 6) recall from c")
