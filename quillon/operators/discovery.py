@@ -55,10 +55,11 @@ def broad(hits: DataFrame, k: int, least: float = 0.3, alike: float = 0.85, trad
 
 
 def focus(hits: DataFrame, terms: list[str], k: int, least: float = 0.35, text: str = "content", key: str = "doc_id") -> DataFrame:
-    """The best 2k of each query over ``least``, rescored by content, the k best."""
-    top = ranked(hits, 2 * k, key=key, by=("query",)).where(F.col("score") >= least)
+    """The best 2k of each query over ``least``, rescored by content, the k best; of equal score and
+    key, what ranked higher in its own query."""
+    top = ranked(hits, 2 * k, key=key, by=("query",), as_rank="own_rank").where(F.col("score") >= least)
     value = focus_score(F.col("score"), F.col(text), F.array(*map(F.lit, terms)), F.col("chunk_index"))
-    return ranked(top.drop("rank").withColumn("score", F.round(value, 6)), k, key=key)
+    return ranked(top.withColumn("score", F.round(value, 6)), k, key=key, then=("own_rank", "query")).drop("own_rank")
 
 
 def promote_readme(hits: DataFrame, path: str = "file_path", key: str = "doc_id", by: float = 1.5) -> DataFrame:

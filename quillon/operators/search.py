@@ -23,11 +23,12 @@ from quillon.functions.vectors import matrix_score, search_score
 BLOCK, LEAST_BLOCK = 32_768, 2_048
 
 
-def ranked(df: DataFrame, k: int, score: str = "score", key: str = "vec_id", by: tuple[str, ...] = (), as_rank: str = "rank") -> DataFrame:
-    """The k best rows (of each value of ``by``) with their rank; ties go to the smaller key."""
-    best = Window.partitionBy(*by).orderBy(F.desc(score), key)
+def ranked(df: DataFrame, k: int, score: str = "score", key: str = "vec_id", by: tuple[str, ...] = (), as_rank: str = "rank", then: tuple[str, ...] = ()) -> DataFrame:
+    """The k best rows (of each value of ``by``) with their rank; ties go to the smaller key, then to the smaller ``then``."""
+    order = (F.desc(score), key, *then)
+    best = Window.partitionBy(*by).orderBy(*order)
     if not by:
-        return df.orderBy(F.desc(score), key).limit(k).withColumn(as_rank, F.row_number().over(best))
+        return df.orderBy(*order).limit(k).withColumn(as_rank, F.row_number().over(best))
     return df.withColumn(as_rank, F.row_number().over(best)).where(F.col(as_rank) <= k)
 
 

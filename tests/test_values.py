@@ -160,6 +160,17 @@ def test_mmr_and_dedup(spark):
     assert sorted(r["doc_id"] for r in rerank.distinct_enough(rows).collect()) == [1, 3]
 
 
+def test_focus_ties(spark):
+    """The same document and score for two questions: the better place in its own question decides."""
+    from quillon.operators import discovery
+
+    rows = [("q1", 7, 0.5, "no"), ("q1", 9, 0.5, "no"), ("q2", 9, 0.5, "no"), ("q1", 8, 0.5, "no")]
+    for order in (rows, rows[::-1]):
+        hits = spark.createDataFrame(order, "query string, doc_id int, score double, content string").withColumn("chunk_index", F.lit(0))
+        got = discovery.focus(hits, ["x"], 10).orderBy("rank").collect()
+        assert [(r["query"], r["doc_id"]) for r in got] == [("q1", 7), ("q1", 8), ("q2", 9), ("q1", 9)]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2, "S", 0.5), (2, 3, "S", 0.5), (4, 5, "S", 1.0)], "source long, target long, type string, weight double")
     assert graph.shortest_path_length(edges, 1, 3) == 2 and graph.shortest_path_length(edges, 1, 5) is None
