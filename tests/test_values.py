@@ -262,3 +262,31 @@ def test_char_ngrams(spark):
     for r in rows:
         low = (texts[r["i"]] or "").lower()
         assert r["g"] == (None if texts[r["i"]] is None else [low] if len(low) <= 3 else [low[k : k + 3] for k in range(len(low) - 2)])
+
+
+def test_term_counts_where_documents_are_read(spark, monkeypatch):
+    """n-grams and words against plain counts: short, null, empty and odd texts, repeated keys, pieces; and no shuffle of a row a character."""
+    from collections import Counter
+
+    monkeypatch.setattr(embed, "PIECE", 40)
+    texts = [(1, "Banana band"), (2, "ab"), (3, ""), (4, None), (5, "x😀yz😀x😀y a\0b"), (6, "aaaa " * 30), (7, "ban ana"), (7, "banana, «ban» --"), (None, "abc abc"), (None, "abc")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    grams = lambda t: [t] if len(t) <= 3 else [t[i : i + 3] for i in range(len(t) - 2)]
+    words = lambda t: [w for w in (p.strip("«»-,\0😀") for p in t.split()) if w]
+    for of, got in ((grams, embed.char_gram_counts(docs, "doc_id", "text")), (words, embed.bag_of_words(docs, "doc_id", "text"))):
+        want = {}
+        for k in {k for k, _ in texts}:
+            tf = Counter(g for i, t in texts if i == k and t is not None for g in of(t.lower()))
+            size = sum(n * n for n in tf.values()) ** 0.5
+            want |= {(k, g): n / size for g, n in tf.items()}
+        rows = {(r["doc_id"], r["term"]): r["weight"] for r in got.collect()}
+        assert rows.keys() == want.keys() and all(rows[x] == pytest.approx(want[x]) for x in want)
+        plan = embed.char_gram_counts(docs.limit(0), "doc_id", "text")._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "Window" not in plan
+
+
+def test_tokens(spark):
+    texts = ["a  b\u00a0c", "«Hi», it's -- (x_1)!", "", "--- ...", "é9. ÀB\t\nz", "1,000.5% ab😀cd 😀q😀", "a\u2003b\x1fc\x0bd\u180ee", "a-" * 50_000, "x" * 50_000, "!" * 50_000 + "a" + "!" * 50_000]
+    was = lambda c: F.filter(F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda t: t != "")
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.tokens(F.col("t")).alias("now"), was(F.col("t")).alias("was")).collect():
+        assert r["now"] == r["was"]
