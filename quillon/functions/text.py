@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -163,9 +164,26 @@ def chunks(df: DataFrame, path: str, text: str, size: int = 2048, overlap: int =
     """Chunks of files: chunk_id (path#number), path, chunk_index, start (byte) and content."""
     schema = "path string, chunk_id string, chunk_index int, start long, content string"
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, f"{p}#{i}", i, a, c) for p, t in zip(pdf["path"], pdf["text"], strict=True) for i, (a, c) in enumerate(chunk(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["path", "chunk_id", "chunk_index", "start", "content"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for p, t in zip(batch.column(0), batch.column(1), strict=True):
+                p = p.as_py()
+                for i, (a, c) in enumerate(chunk(t.as_py() or "", size, overlap)):
+                    rows.append((p, f"{p}#{i}", i, a, c))
+                    held += len(c)
+                    if held > HELD:
+                        yield chunk_batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield chunk_batch(rows)
 
-    return df.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(split, schema)
+    return df.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(split, schema)
+
+
+HELD = 1 << 21  # characters of chunks that a worker holds at a time
+
+
+def chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "chunk_id", "chunk_index", "start", "content"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +21,40 @@ def list_files(chunks: DataFrame, sort: str = "name", limit: int | None = None,
 
 def joined_text(parts: list[str], most: int = 512) -> str:
     """Chunks in order with what the end of one and the start of the next have in common once."""
-    out = ""
+    out: list[bytes] = []
+    tail = b""
     for part in parts:
-        tail = out.encode()[-most:]
         raw = part.encode()
-        n = next((n for n in range(min(len(tail), len(raw)), 0, -1) if tail.endswith(raw[:n])), 0)
-        out += raw[n:].decode("utf-8", "replace")
-    return out
+        n = overlap(tail, raw)
+        out.append(raw[n:])
+        tail = (tail + raw[n:])[-most:]
+    return b"".join(out).decode("utf-8", "replace")
+
+
+def overlap(tail: bytes, head: bytes) -> int:
+    """The length of the longest end of ``tail`` that ``head`` starts with."""
+    tail = tail[-len(head) :] if head else b""
+    at = 0
+    while at < len(tail):
+        if head.startswith(tail[at:]):
+            return len(tail) - at
+        step = tail.find(head[:4], at + 1) if len(tail) - at > 4 else at + 1
+        at = step if step >= 0 else max(at + 1, len(tail) - 3)
+    return 0
 
 
 def contents(chunks: DataFrame, path: str = "path") -> DataFrame:
-    """Each file's text from its chunks; a file's chunks are one group, as a file is one text."""
+    """Each file's text from its chunks; a file's chunks are one row, as a file is one text."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [pdf[path].iloc[0]], "content": [joined_text(pdf.sort_values("chunk_index")["content"].tolist())]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                some = batch.slice(start, 256)
+                texts = [joined_text([p["content"] for p in parts.as_py()]) for parts in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["path", "content"])
 
-    return chunks.select(path, "chunk_index", "content").groupBy(path).applyInPandas(build, "path string, content string")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("parts")
+    return chunks.groupBy(F.col(path).alias("path")).agg(parts).mapInArrow(build, "path string, content string")
 
 
 def ordered_chunks(chunks: DataFrame, hint: int = 50, path: str = "path") -> DataFrame:

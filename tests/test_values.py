@@ -290,3 +290,26 @@ def test_tokens(spark):
     was = lambda c: F.filter(F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda t: t != "")
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.tokens(F.col("t")).alias("now"), was(F.col("t")).alias("was")).collect():
         assert r["now"] == r["was"]
+
+
+def test_overlap_and_long_files():
+    """The longest common end and start, as trying every length finds it; a long file in time linear in its chunks (36 MB; neighbouring parts may share some digits)."""
+    import random
+    import time
+
+    random.seed(3)
+    for _ in range(3000):
+        a, b = (bytes(random.choice(b"ab") for _ in range(random.randrange(14))) for _ in range(2))
+        assert files.overlap(a, b) == next((n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n])), 0), (a, b)
+    parts = [f"{i:06d}" * 300 for i in range(20_000)]
+    start = time.time()
+    assert len(files.joined_text(parts)) > 35_900_000 and time.time() - start < 20
+
+
+def test_chunks_come_in_small_batches(spark, monkeypatch):
+    """What a worker holds of a batch of files is bounded, and files come back from their chunks."""
+    rows = [(f"f{i}", f"Satz {i} über {i}. " * (i * 40)) for i in range(12)]
+    monkeypatch.setattr(tx, "HELD", 3000)
+    got = tx.chunks(spark.createDataFrame(rows, "p string, t string"), "p", "t", 512, 64)
+    assert sorted((r["path"], r["chunk_index"], r["start"], r["content"]) for r in got.collect()) == sorted((p, i, a, c) for p, t in rows for i, (a, c) in enumerate(tx.chunk(t, 512, 64)))
+    assert {r["path"]: r["content"] for r in files.contents(got).collect()} == {p: files.joined_text([c for _, c in tx.chunk(t, 512, 64)]) for p, t in rows if t}
