@@ -77,17 +77,22 @@ def shortest_path_length(edges: DataFrame, start, end, most: int = 20) -> int |
     return None
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, hot: int = 10_000) -> DataFrame:
     """node and component (its smallest node) over undirected edges: the smallest label spreads,
-    and labels jump to their own label, until nothing changes."""
+    and labels jump to their own label, until nothing changes.  Labels of more than ``hot`` nodes,
+    so one in ``hot`` nodes at most, are broadcast."""
     both = edges.select("source", "target").union(edges.select("target", "source")).distinct()
     both = cut(both, "graph-edges")
     labels = cut(both.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("m")).select("node", F.least("node", "m").alias("component")), "graph-labels")
     while True:  # labels only ever fall, so this ends
         spread = both.join(labels, both["target"] == labels["node"]).groupBy("source").agg(F.min("component").alias("m"))
-        nearer = labels.join(spread, labels["node"] == spread["source"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        nearer = cut(labels.join(spread, labels["node"] == spread["source"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old")), "graph-nearer")
         jump = nearer.select(F.col("node").alias("at"), F.col("c").alias("up"))
-        fresh = cut(nearer.join(jump, F.col("c") == F.col("at")).select("node", F.least("c", "up").alias("component"), "old"), "graph-labels")
+        # Most nodes come to share a few labels: these are joined without dealing their rows to one task.
+        many = F.broadcast(nearer.groupBy("c").count().where(F.col("count") > hot).join(jump, F.col("c") == F.col("at")).select("c", "up"))
+        few = nearer.join(many, "c", "left_anti").join(jump, F.col("c") == F.col("at")).select("node", "c", "up", "old")
+        both_ways = few.union(nearer.join(many, "c").select("node", "c", "up", "old"))
+        fresh = cut(both_ways.select("node", F.least("c", "up").alias("component"), "old"), "graph-labels")
         labels = fresh.select("node", "component")
         if not fresh.where("component <> old").take(1):
             return labels

@@ -313,3 +313,12 @@ def test_chunks_come_in_small_batches(spark, monkeypatch):
     got = tx.chunks(spark.createDataFrame(rows, "p string, t string"), "p", "t", 512, 64)
     assert sorted((r["path"], r["chunk_index"], r["start"], r["content"]) for r in got.collect()) == sorted((p, i, a, c) for p, t in rows for i, (a, c) in enumerate(tx.chunk(t, 512, 64)))
     assert {r["path"]: r["content"] for r in files.contents(got).collect()} == {p: files.joined_text([c for _, c in tx.chunk(t, 512, 64)]) for p, t in rows if t}
+
+
+def test_components_with_a_hot_label(spark):
+    """One label for nearly all nodes: its rows are not dealt to one task, and components stay right."""
+    star = spark.range(1, 400).select(F.lit(0).cast("long").alias("source"), F.col("id").alias("target"))
+    pairs = spark.range(1000, 1040).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")).where("source % 2 = 0")
+    for hot in (5, 10_000):
+        got = {r["node"]: r["component"] for r in graph.connected(star.union(pairs), hot=hot).collect()}
+        assert got == {i: 0 for i in range(400)} | {i: i - i % 2 for i in range(1000, 1040)}
