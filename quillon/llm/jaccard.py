@@ -13,8 +13,11 @@ has one of its rarest fifth of shingles (in one order for all: by how often the
 ``SLOTS`` slot occurs in the corpus, then by hash) in common with the other, and a shingle's
 sets are one tree.
 1. Texts with equal sets are one node.
-2. Nodes are posted under their rarest fifth; shingles of one node drop out, and of shingles
-   with the same nodes one stands for all.
+2. Nodes are posted under their rarest fifth, by one of their documents; shingles of one node drop
+   out, and of shingles with the same nodes the first in that order stands for all.  Two sets need
+   each other only in the tree of the first shingle they have in common, where what either has from
+   there on bounds their overlap; a node that by this and by size fits no other of a tree leaves it,
+   before any point is moved.
 3. Nearest neighbours: every node asks its trees for the node before it (smaller, then by id) with
    the highest bound, and the best answer of all is verified; trees in which no two nodes pass the
    bound are done.  This links groups of thousands of near copies with one comparison a node.
@@ -56,6 +59,10 @@ BLOCK = 2048
 PERCENT = 80
 #: A node takes so many of its first shingles along, by which pairs that meet in several trees are told.
 FIRST = 32
+#: Texts are taken so many at a time.
+TEXTS = 2048
+#: Postings have rare slots, so the low bits of their keys are few; marks are made of those from here on.
+HIGH = 26
 
 
 def groups_for(n: int) -> int:
@@ -121,11 +128,18 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``TEXTS`` a batch at most, so that what a worker holds for a batch stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
 def sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the corpus's slot counts in parts of ``PART``."""
     slots = np.zeros(SLOTS, np.int64)
     names = ["doc", "n", "node", "again", "point", "part", "counts"]
-    for batch in batches:
+    for batch in sliced(batches):
         n, node, again, at = [], [], [], []
         for _, s in shingle_sets(batch.column(1), width):
             a, b = prints(s)
@@ -158,21 +172,67 @@ def slot_counts(sketches: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def posted(batches: Iterator[pa.RecordBatch], slots: np.ndarray, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """shingle and node for the rarest shingles of each set, once a node and batch."""
-    for batch in batches:
-        keys, nodes, seen = [], [], set()
-        for _, s in shingle_sets(batch.column(0), width):
+def posted(batches: Iterator[pa.RecordBatch], slots: np.ndarray, chosen: np.ndarray, several: np.ndarray, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """shingle, node, size of the set and place of the shingle in it for the rarest shingles of each set, once a node and
+    batch, from rows (hash of the id, text) that may be ``chosen``; again: the node may be one of ``several`` rows."""
+    names = ["key", "node", "n", "at", "again"]
+    for batch in sliced(batches):
+        ids, keys, nodes, sizes, seen = batch.column(0).to_numpy(), [], [], [], set()
+        for row, s in shingle_sets(batch.column(1), width):
             node = prints(s)[0] if len(s) else None
-            if node is None or node in seen:
+            if node is None or node in seen or not in_bit_set(chosen, ids[row : row + 1] ^ node)[0]:
                 continue
             seen.add(node)
             k = len(s) - -(-percent * len(s) // 100) + 1
-            order = np.lexsort((s, slots[(s % U(SLOTS)).astype(np.int64)]))[:k]
-            keys.append(s[order])
-            nodes.append(np.full(len(order), node, np.int64))
+            keys.append(s[np.lexsort((s, slots[(s % U(SLOTS)).astype(np.int64)]))[:k]])
+            nodes.append(node)
+            sizes.append(len(s))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+            long = np.array([len(k) for k in keys])
+            at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            node, n, again = (np.repeat(x, long) for x in (np.array(nodes, np.int64), np.array(sizes, np.int32), in_bit_set(several, np.array(nodes, np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(n), pa.array(at.astype(np.int32)), pa.array(again)], names=names)
+
+
+def partnered(edges: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of the trees that start at ``edges`` may be linked to another row of their tree, if the tree's
+    shingle, in place ``at`` of each set of ``n``, is the first that the two have in common."""
+    out, room = np.zeros(len(n), bool), n - at
+    first, size = (np.repeat(x, np.diff(edges)) for x in (edges[:-1], np.diff(edges)))
+    for s in np.unique(size[size > 1]).tolist():
+        own = np.flatnonzero(size == s)
+        step = max(1, (1 << 18) // s)
+        for k in range(0, len(own), step):
+            a = own[k : k + step, None]
+            b = first[a] + np.arange(s)
+            good = (a != b) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
+            good &= np.minimum(room[a], room[b]) >= least_overlap(n[a], n[b], percent)
+            out[own[k : k + step]] = good.any(1)
+    return out
+
+
+def pruned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """key, node and size of the rows (sorted by key) that may have a partner in their tree; trees of more than ``BLOCK`` nodes stay whole."""
+    rest: pa.Table | None = None
+
+    def some(table: pa.Table) -> list[pa.RecordBatch]:
+        key, size, n, at = (table[c].to_numpy() for c in ("key", "size", "n", "at"))
+        edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        stay = size > BLOCK
+        small = np.flatnonzero(~stay)
+        starts = np.concatenate(([0], np.cumsum(np.add.reduceat((~stay).astype(np.int64), edges[:-1]))))
+        stay[small] = partnered(starts, n[small].astype(np.int64), at[small], percent)
+        return table.select(["key", "node", "size"]).filter(pa.array(stay)).combine_chunks().to_batches()
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        last = int(np.searchsorted(table["key"].to_numpy(), table["key"][-1].as_py())) if table.num_rows else 0
+        rest = table.slice(last)
+        if last:
+            yield from some(table.slice(0, last))
+    if rest is not None and rest.num_rows:
+        yield from some(rest)
 
 
 class Tree:
@@ -317,7 +377,7 @@ class Join:
         sketch = "doc long, n long, node long, again long, point binary, part int, counts binary"
         sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
         self.rows = cut(sketches.where("part is null").select("doc", "n", "node"), "jaccard-rows")
-        nodes = sketches.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"))
+        nodes = sketches.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"), F.count("*").alias("rows"))
         self.nodes = self.held(nodes, "jaccard-nodes")
         self.slots = slot_counts(sketches)
         drop(sketches)
@@ -333,24 +393,40 @@ class Join:
         drop(*self.made)
         self.made = []
 
-    def forest(self) -> DataFrame:
-        """key, node and size: the shingles that part the nodes into trees, and the number of their nodes."""
-        slots = self.spark.sparkContext.broadcast(self.slots)
-        width, percent = self.width, self.percent
-        all_of = cut(self.docs.select("text").mapInArrow(lambda x: posted(x, slots.value, width, percent), "key long, node long"), "jaccard-postings")
-        marks = self.spark.sparkContext.broadcast(bit_set(all_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", 26))
+    def among(self, marks: np.ndarray, shift: int = 0):
+        """A filter for rows whose first column, so many bits shifted, may be marked."""
+        marks = self.spark.sparkContext.broadcast(marks)
 
-        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
+                yield batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy() >> shift)))
+
+        return rows
 
-        both = cut(all_of.mapInArrow(marked, "key long, node long").distinct(), "jaccard-shared")
-        drop(all_of)
+    def forest(self) -> DataFrame:
+        """key, node and size: the shingles that part the nodes into trees, and the number of nodes that have them."""
+        context = self.spark.sparkContext
+        slots = context.broadcast(self.slots)
+        chosen = context.broadcast(bit_set(self.nodes.select(F.xxhash64("doc").bitwiseXOR(F.col("node")).alias("h")), "h", 26))
+        several = context.broadcast(bit_set(self.nodes.where("rows > 1").select("node"), "node"))
+        width, percent = self.width, self.percent
+        posts = "key long, node long, n int, at int, again boolean"
+        texts = self.docs.select(F.xxhash64("doc").alias("h"), "text")
+        all_of = cut(texts.mapInArrow(lambda x: posted(x, slots.value, chosen.value, several.value, width, percent), posts), "jaccard-postings")
+        copied = cut(all_of.where("again").distinct(), "jaccard-copied")  # an id or a mark may be shared; all other nodes post once
+        once = all_of.where("not again").unionByName(copied)
+        high = F.shiftright("key", HIGH).alias("high")
+        marks = bit_set(once.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(high), "high", 26)
+        posts = "key long, node long, n int, at int"
+        both = cut(once.drop("again").mapInArrow(self.among(marks, HIGH), posts), "jaccard-shared")
+        drop(all_of, copied)
         whole = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-        sizes = both.groupBy("key").agg(F.count("*").alias("size"), *whole).where("size > 1")
-        stand = sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-        out = self.held(both.join(stand, "key").select("key", "node", "size"), "jaccard-forest")
-        drop(both)
+        sizes = both.groupBy("key").agg(F.count("*").alias("size"), F.min("at").alias("at"), *whole).where("size > 1")
+        stand = cut(sizes.groupBy("size", "x", "y").agg(F.min(F.struct("at", "key")).alias("first")).select("first.key", "size"), "jaccard-stand")
+        rows = both.mapInArrow(self.among(bit_set(stand.select(high), "high", 26), HIGH), posts).join(stand, "key").select("key", "node", "size", "n", "at")
+        rows = rows.repartition("key", F.when(F.col("size") > BLOCK, F.col("node"))).sortWithinPartitions("key")
+        out = self.held(rows.mapInArrow(lambda x: pruned(x, percent), "key long, node long, size long"), "jaccard-forest")
+        drop(both, stand)
         return out
 
     def trees(self, rows: DataFrame, nearest: bool) -> DataFrame:
@@ -360,7 +436,8 @@ class Join:
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         others = F.array(own) if nearest else F.sequence(F.lit(0), blocks - 1)
         dealt = rows.withColumn("own", own).withColumn("k", F.explode(others)).select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "component")
-        dealt = dealt.join(self.nodes.select("node", "n", "point"), "node")
+        points = self.nodes.select("node", "n", "point").mapInArrow(self.among(bit_set(rows.select("node"), "node")), "node long, n long, point binary")
+        dealt = dealt.join(points, "node")
         if not nearest:
             dealt = dealt.join(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first")), "node")
         dealt = dealt.select("key", "i", "j", "n", "node", "component", "point", *([] if nearest else ["first"]))
@@ -379,7 +456,7 @@ class Join:
         marks = self.spark.sparkContext.broadcast(bit_set(ends.select(F.xxhash64("doc").alias("h")), "h"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 batch = batch.filter(pa.array(in_bit_set(marks.value, batch.column(0).to_numpy())))
                 some = {}
                 for _, s in shingle_sets(batch.column(1), width):

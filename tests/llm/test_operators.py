@@ -131,6 +131,39 @@ def test_jaccard_null_id_in_a_group(spark):
     assert got == {(9, 5): 1, (5, 5): 1, (None, 5): 2, (None, None): 2, (-(1 << 63), -(1 << 63)): 1}
 
 
+def test_jaccard_trees_keep_partners_only(spark):
+    """Unlike texts with a passage in common, and copies, leave no tree; near copies do."""
+    random = np.random.default_rng(7)
+    some = [[f"w{j}" for j in random.integers(0, 1 << 30, 60)] for _ in range(4)]
+    passage = ["one", "passage", "that", "all", "share"]
+    rows = [(i, " ".join(w + passage)) for i, w in enumerate(some)] + [(10 + i, " ".join(some[0] + passage)) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    assert jaccard.Join(df, "doc_id", "text", 5, 80).forest().count() == 0
+    near = df.union(spark.createDataFrame([(99, " ".join(["other"] + some[1][1:] + passage))], df.schema))
+    forest = jaccard.Join(near, "doc_id", "text", 5, 80).forest()
+    assert forest.select("node").distinct().count() == 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(near).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 99: 1} | {10 + i: 0 for i in range(5)}
+
+
+def test_partnered_loses_no_pair():
+    """Sets that reach the threshold both stay in the tree of the first shingle they have in common."""
+    random = np.random.default_rng(5)
+    family = np.arange(1000, 1080)
+    sets = [np.unique(np.concatenate([random.choice(family, int(k), replace=False), random.integers(0, 900, int(j))])) for k, j in zip(random.integers(60, 81, 80), random.integers(0, 12, 80), strict=True)]
+    pairs = 0
+    for q, s in enumerate(sets):
+        for t in sets[:q]:
+            both = np.intersect1d(s, t)
+            if 100 * len(both) < 80 * (len(s) + len(t) - len(both)):
+                continue
+            at = np.array([np.searchsorted(x, both[0]) for x in (s, t)])
+            assert jaccard.partnered(np.array([0, 2]), np.array([len(s), len(t)]), at, 80).all()
+            pairs += 1
+    assert 100 < pairs < 3000
+    assert not jaccard.partnered(np.array([0, 2, 3]), np.array([100, 100, 50]), np.array([12, 0, 0]), 80).any()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
