@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.store import cut, drop
-from quillon.llm.common import bit_set, in_bit_set
+from quillon.llm.common import bit_set, in_bit_set, text_batches
 from quillon.llm.graphs import components
 from quillon.llm.words import U, mix, shingle_sets
 
@@ -375,7 +375,8 @@ class Join:
         self.made: list[DataFrame] = []
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
         sketch = "doc long, n long, node long, again long, point binary, part int, counts binary"
-        sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
+        with text_batches(self.spark):
+            sketches = cut(self.docs.mapInArrow(lambda x: sketched(x, width), sketch), "jaccard-sketches")
         self.rows = cut(sketches.where("part is null").select("doc", "n", "node"), "jaccard-rows")
         nodes = sketches.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.max("n").alias("m"), F.min("again").alias("again"), F.max("again").alias("other"), F.first("point").alias("point"), F.count("*").alias("rows"))
         self.nodes = self.held(nodes, "jaccard-nodes")
@@ -412,7 +413,8 @@ class Join:
         width, percent = self.width, self.percent
         posts = "key long, node long, n int, at int, again boolean"
         texts = self.docs.select(F.xxhash64("doc").alias("h"), "text")
-        all_of = cut(texts.mapInArrow(lambda x: posted(x, slots.value, chosen.value, several.value, width, percent), posts), "jaccard-postings")
+        with text_batches(self.spark):
+            all_of = cut(texts.mapInArrow(lambda x: posted(x, slots.value, chosen.value, several.value, width, percent), posts), "jaccard-postings")
         copied = cut(all_of.where("again").distinct(), "jaccard-copied")  # an id or a mark may be shared; all other nodes post once
         once = all_of.where("not again").unionByName(copied)
         high = F.shiftright("key", HIGH).alias("high")
@@ -470,7 +472,9 @@ class Join:
         held = held.dropDuplicates(["node"])  # rows may repeat an id and a text
         paired = pairs.select("a", "b").join(held.toDF("a", "s"), "a").join(held.toDF("b", "t"), "b")
         common = F.size(F.array_intersect("s", "t")).cast("long")
-        return self.held(paired.withColumn("k", common).where(F.col("k") * 100 >= percent * (F.size("s") + F.size("t") - F.col("k"))).select("a", "b"), "jaccard-links")
+        links = paired.withColumn("k", common).where(F.col("k") * 100 >= percent * (F.size("s") + F.size("t") - F.col("k"))).select("a", "b")
+        with text_batches(self.spark):
+            return self.held(links, "jaccard-links")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

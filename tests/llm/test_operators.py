@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, jaccard, language, mixing, neighbours, pii, quality, repeats, urls, warc
-from quillon.llm.common import held_out
+from quillon.llm.common import held_out, text_batches
 from quillon.llm.graphs import components
 from quillon.llm.queries import QUERIES, SQL
 from tests.llm.conftest import SMALL
@@ -164,6 +165,16 @@ def test_partnered_loses_no_pair():
     assert not jaccard.partnered(np.array([0, 2, 3]), np.array([100, 100, 50]), np.array([12, 0, 0]), 80).any()
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    """Within the step no batch has more than 1,024 texts; afterwards the session is as before."""
+    df = spark.range(0, 5000, 1, 1).selectExpr("cast(id as string) as text")
+    most = lambda: max(r["n"] for r in df.mapInArrow(lambda x: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in x), "n long").collect())
+    before = most()
+    with text_batches(spark):
+        assert most() <= 1024
+    assert most() == before
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
