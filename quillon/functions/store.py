@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, at_once: bool = False) -> DataFrame:
     """Write ``df`` there and read it again: lost executors never force what precedes to run anew.
 
     Spark drops a shuffle's files when the driver collects the plan that made them as garbage;
-    a job of many steps would fill disks long before that, so it is asked for here."""
+    a job of many steps would fill disks long before that, so it is asked for here.  The queues of Spark's
+    listeners hold the last event, and with it the plan that has just ended, until another comes: with
+    ``at_once`` a small job sends one first, else this shuffle's files stay until the next table is cut."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if at_once:
+        df.sparkSession.range(1).count()
+        time.sleep(0.2)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

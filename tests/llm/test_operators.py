@@ -393,6 +393,45 @@ def test_repeats_rows_of_one_id(spark):
     assert got == Counter((r["doc_id"], *want[i]) for i, r in enumerate(ordered))
 
 
+def test_repeats_frequent_and_large(spark, monkeypatch):
+    """Ranks that are frequent, and ranks with more parts than a task compares, lose nothing."""
+    random = np.random.default_rng(6)
+    word = lambda n: "".join(random.choice(list("abcdefgh "), n))
+    line, passage = word(76), word(230)
+    rows = {i: word(int(n)) + (line if i % 2 else passage[i % 50 :]) + word(60) + line[: i % 40] for i, n in enumerate(random.integers(0, 200, 120))}
+    rows |= {200: "ab" * 300, 201: word(90) + "ab" * 90, 202: rows[7] + rows[8], 203: rows[9]}
+    want = removed(rows)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    for names in ({"GROUP": 1}, {"SAMPLE": 1, "HOT": 1}, {"SAMPLE": 1, "HOT": 4, "GROUP": 2}):
+        with monkeypatch.context() as m:
+            for name, value in names.items():
+                m.setattr(repeats, name, value)
+            assert {r["doc_id"]: tuple(r)[1:5] for r in repeats.deduplicate(df).collect()} == want
+
+
+def shuffled(spark):
+    """Bytes that this session's stages have written to shuffles, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_repeats_shuffles_in_proportion(spark, monkeypatch):
+    """No filter of a fixed size decides what is sorted: one that a large corpus has filled lets every window through."""
+    monkeypatch.setattr(repeats, "BITS", 6, raising=False)
+    random = np.random.default_rng(8)
+    word = lambda n: "".join(random.choice(list("abcdefghijklmnop "), n))
+    passages = [word(200) for _ in range(100)]
+    rows = [(i, word(1700) + passages[i % 100] + word(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled(spark)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.deduplicate(df).collect()}
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert got == removed(dict(rows))
+    assert written < 6 * sum(len(x) for _, x in rows)
+
+
 # op8
 
 
