@@ -279,11 +279,12 @@ def _parts(parts: list[tuple], windows: list[tuple], data: np.ndarray, length: i
     if parts:
         a, b, doc, tie, start, more, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         k, again = _firsts(a, b, doc, tie, start)
-        n = more[k] + length
-        ends = np.cumsum(n)
-        own = data[np.repeat(p[k] - ends + n, n) + np.arange(n.sum())]
-        texts = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(own)])
-        yield _rows(a[k], b[k], doc[k], tie[k], start[k] << 16 | more[k], texts)
+        for k in np.split(k, range(1 << 14, len(k), 1 << 14)):
+            n = more[k] + length
+            ends = np.cumsum(n)
+            own = data[np.repeat(p[k] - ends + n, n) + np.arange(n.sum())]
+            texts = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(own)])
+            yield _rows(a[k], b[k], doc[k], tie[k], start[k] << 16 | more[k], texts)
         yield known(doc[again], tie[again], start[again], start[again] + more[again])
     if windows:
         a, b, doc, tie, start = (np.concatenate(x) for x in zip(*windows, strict=True))
